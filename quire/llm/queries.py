@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, quality_rules
+from quire.llm import bpe, exact_dedup, mixing, quality_rules, warc
 from quire.session import prepare, table
 
 
@@ -13,11 +13,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("n_points")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,7 +36,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc": op4_warc,
     "op9_bpe": op9_bpe,
 }
 
@@ -37,4 +48,15 @@ SQL = {
         g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM p),
+        b AS (SELECT *, list_transform(range(0, 8), lambda i: list_reduce(list_transform(range(1, 6), lambda j: instr('0123456789abcdef', hex[i * 5 + j]) - 1), lambda x, y: x * 16 + y)) AS runs FROM g)
+        SELECT page_id, payload_bytes,
+            list_aggregate(list_transform(runs, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // 32768) % 32 + 1 AS BIGINT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // 1024) % 32 + 1 AS BIGINT), 1)
+                || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // 32) % 32 + 1 AS BIGINT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v % 32 + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM b
+    """,
 }
