@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, mixing, quality_rules, warc
+from quire.llm import bpe, exact_dedup, html_text, mixing, near_dedup, quality_rules, toxicity, warc
 from quire.session import prepare, table
 
 
@@ -27,6 +27,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,12 +44,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
+    "op6_toxicity": op6_toxicity,
+    "op7_near_dedup": op7_near_dedup,
     "op9_bpe": op9_bpe,
+    "op10_html_text": op10_html_text,
 }
 
 SQL = {
@@ -59,4 +77,17 @@ SQL = {
             CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM b
     """,
+    "op7_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+        s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+        x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        pairs AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        edges AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.v FROM reach r JOIN edges e ON r.other = e.u),
+        c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+    """,
 }
