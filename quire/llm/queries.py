@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, html_text, mixing, near_dedup, quality_rules, toxicity, warc
+from quire.llm import bpe, exact_dedup, html_text, mixing, near_dedup, ngram_lm, quality_rules, toxicity, warc
 from quire.session import prepare, table
 
 
@@ -27,6 +27,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ngram_lm.quality_by_perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
+    "op5_ngram_lm": op5_ngram_lm,
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op9_bpe": op9_bpe,
