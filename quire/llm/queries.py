@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, html_text, mixing, near_dedup, ngram_lm, quality_rules, toxicity, warc
+from quire.llm import bpe, exact_dedup, html_text, mixing, near_dedup, ngram_lm, quality_rules, substring_dedup, toxicity, warc
 from quire.session import prepare, table
 
 
@@ -42,6 +42,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_ngram_lm": op5_ngram_lm,
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
     "op10_html_text": op10_html_text,
 }
@@ -96,4 +102,14 @@ SQL = {
         c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
     """,
+    "op8_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM w WHERE len(words) >= 20),
+        x AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 19], ' ')) AS win FROM s),
+        r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM x),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS place FROM r WHERE k > 1),
+        words AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, len(w.words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+    """,
 }
