@@ -2,9 +2,9 @@
 
 A sequence of tokens is the BPE encoding of its bytes if and only if every two neighbours are compatible: merging
 their joint bytes gives back just the two. So the encodings of all prefixes of a piece can be followed at once. A
-hypothesis is the token list of one prefix plus the place in the token trie of what was read since; a transducer
-state is the set of live hypotheses, less the tokens they have in common. Those are emitted: no token waits longer
-than the longest token of the vocabulary. States and transitions are made when first met, and kept.
+hypothesis is the last token of one prefix's encoding plus the place in the token trie of what was read since; a
+transducer state is the set of live hypotheses. A token is certain once all of them descend from it: none waits longer
+than the longest token of the vocabulary. States and moves are made when first met, and kept.
 
 Defined results: null or empty text gives no tokens and the hash of no bytes; any Unicode text round-trips; further
 columns are ignored; rows are independent, so ties and repeated rows need nothing.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -24,8 +25,11 @@ from pyspark.sql import DataFrame
 
 from quire.llm.common import slices
 
-#: Pieces and states that are kept; beyond it, the store starts anew.
-KEPT = 400_000
+#: Pieces and states that are kept; beyond it, states start anew and pieces lose their older half.
+KEPT = 250_000
+#: Bytes after which a long piece gives out the tokens that are certain.
+RUN = 1024
+NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,42 +39,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """encode(piece) -> token ids of one pre-split piece of bytes."""
+    """encode(piece) -> token ids of one pre-split piece of bytes.
+
+    A state holds the live hypotheses, oldest first, each as last token and trie node of what follows it. A move
+    reads a byte and says which token, if any, ends the encoding of the prefix read so far. Oldest first means that
+    the longest token is tried first, and as a prefix has one encoding, the first that fits is it.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.children: list[dict[int, int]] = [{}]
-        self.token: list[int | None] = [None]
+        self.token: list[int] = [-1]
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.length = {v: len(k) for k, v in ranks.items()}
         for text, rank in ranks.items():
             at = 0
             for b in text:
                 at = self.children[at].setdefault(b, len(self.children))
                 if at == len(self.token):
                     self.children.append({})
-                    self.token.append(None)
+                    self.token.append(-1)
             self.token[at] = rank
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states = {self._start(): 0}
-        self.sets = [self._start()]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-
-    @staticmethod
-    def _start() -> tuple:
-        return ((), (), 0), None  # one hypothesis: nothing pending, at the trie's root; and no last token
+        start = ((-1, 0),)
+        self.states = {start: 0}
+        self.sets = [start]
+        self.moves: dict[int, tuple[int, int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: join the neighbours of least rank, leftmost first, until none joins."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best == 1 << 60:
+        ranks = [self.ranks.get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = self.ranks.get(parts[at - 1] + parts[at], NEVER)
+            if at < len(ranks):
+                ranks[at] = self.ranks.get(parts[at] + parts[at + 1], NEVER)
         return [self.ranks[p] for p in parts]
 
     def alone(self, token: int) -> bool:
@@ -80,73 +94,94 @@ class Transducer:
             got = self._alone[token] = self.merge(self.bytes_of[token]) == [token]
         return got
 
-    def fits(self, a: int | None, b: int) -> bool:
-        if a is None:
+    def fits(self, a: int, b: int) -> bool:
+        """Whether b may follow a (-1: the start of a piece)."""
+        if a < 0:
             return self.alone(b)
-        got = self._fits.get((a, b))
+        key = a << 24 | b
+        got = self._fits.get(key)
         if got is None:
             if len(self._fits) > 4 * KEPT:
                 self._fits.clear()
-            got = self._fits[a, b] = self.alone(b) and self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            got = self._fits[key] = self.alone(b) and self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        hypotheses, last = self._hypotheses(state)
-        grown = []
-        for pending, node in hypotheses:
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        grown, ended = [], -1
+        for last, node in self.sets[state]:
             to = self.children[node].get(byte)
             if to is None:
                 continue
-            grown.append((pending, to))
+            if self.children[to]:
+                grown.append((last, to))
             token = self.token[to]
-            if token is not None and self.fits(pending[-1] if pending else last, token):
-                grown.append(((*pending, token), 0))  # that prefix's encoding ends here
-        common = 0
-        lists = [p for p, _ in grown]
-        shortest = min(map(len, lists))
-        while common < shortest and all(p[common] == lists[0][common] for p in lists):
-            common += 1
-        out = lists[0][:common]
-        key = tuple(sorted((p[common:], node) for p, node in grown)), (out[-1] if out else last)
+            if ended < 0 <= token and self.fits(last, token):
+                ended = token
+        if ended >= 0:
+            grown.append((ended, 0))
+        key = tuple(grown)
         number = self.states.get(key)
         if number is None:
             number = self.states[key] = len(self.sets)
             self.sets.append(key)
-            self.moves.append({})
-        return number, out
-
-    def _hypotheses(self, state: int):
-        if state == 0:
-            return (((), 0),), None
-        return self.sets[state]
+        return number, ended
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
+        return [whole] if whole is not None else list(self.emit(piece))
+
+    def emit(self, piece: bytes) -> Iterator[int]:
+        """The tokens of piece, each as soon as all live hypotheses agree on it (looked for every RUN bytes)."""
         if len(self.sets) > KEPT:
             self._reset()
-        moves, state, out = self.moves, 0, []
-        for i, byte in enumerate(piece):
-            step = moves[state].get(byte)
+        moves, state, start, ends = self.moves, 0, 0, []
+        length = self.length
+        for byte in piece:
+            step = moves.get(state << 8 | byte)
             if step is None:
-                step = self._move(state, byte)
-                moves[state][byte] = step
-            state, tokens = step
-            if tokens:
-                out.extend(tokens)
-            if len(self.sets) > 4 * KEPT:  # a single huge piece: start anew from the state at hand
-                key = self.sets[state]
-                self._reset()
-                moves = self.moves
-                if state:
-                    state = self.states[key] = len(self.sets)
-                    self.sets.append(key)
-                    self.moves.append({})
-        for pending, node in self._hypotheses(state)[0]:
-            if node == 0:
-                return out + list(pending)
-        raise ValueError("no encoding: the vocabulary lacks single bytes")
+                step = moves[state << 8 | byte] = self._move(state, byte)
+            state, ended = step
+            ends.append(ended)
+            if len(ends) >= RUN:
+                yield from self._agreed(ends, state)
+                if len(self.sets) > 2 * KEPT:  # a single huge piece: go on from the state at hand with an empty store
+                    key = self.sets[state]
+                    self._reset()
+                    moves, state = self.moves, self.states.setdefault(key, len(self.sets))
+                    if state == len(self.sets):
+                        self.sets.append(key)
+        at, out = len(ends), []
+        while at:
+            token = ends[at - 1]
+            if token < 0:
+                raise ValueError("no encoding: the vocabulary lacks single bytes")
+            out.append(token)
+            at -= length[token]
+        yield from reversed(out)
+
+    def _agreed(self, ends: list[int], state: int) -> list[int]:
+        """Takes from ends what all live hypotheses have in common. They start at most one token's length back."""
+        depth, chains = self._depths(), []
+        for _, node in self.sets[state]:
+            at, chain = len(ends) - depth[node], []
+            while at > 0:
+                chain.append(ends[at - 1])
+                at -= self.length[ends[at - 1]]
+            chains.append(chain[::-1])
+        common = 0
+        while all(len(c) > common and c[common] == chains[0][common] for c in chains):
+            common += 1
+        out = chains[0][:common]
+        del ends[: sum(self.length[t] for t in out)]
+        return out
+
+    def _depths(self) -> list[int]:
+        if not hasattr(self, "depth"):
+            self.depth = [0] * len(self.token)
+            for node, below in enumerate(self.children):
+                for child in below.values():
+                    self.depth[child] = self.depth[node] + 1
+        return self.depth
 
 
 class Utf8Stream:
@@ -191,9 +226,15 @@ class Codec:
         encode = self.transducer.encode
 
         class Packed(dict):
+            older: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                ids = np.array(encode(piece.encode("utf-8")), "<u4").tobytes()
+                ids = self.older.get(piece)
+                if ids is None:
+                    found = encode(piece.encode("utf-8"))
+                    ids = struct.pack(f"<{len(found)}I", *found)
                 if len(self) >= KEPT:
+                    self.older = dict(self)
                     self.clear()
                 if len(piece) < 64:
                     self[piece] = ids
