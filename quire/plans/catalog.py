@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import chunking, enrich, render, structure
 from quire.session import prepare, table
+from quire.sources.read import parse_files
 
 QUERIES = {}
 SQL = {}
@@ -317,6 +318,62 @@ def parse_projection(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "source", "lang", F.length("text").alias("total_chars"), F.substring("text", 1, 300).alias("text"), (F.length("text") > 300).alias("truncated"))
 
 
+def pages_html(spark, sf_dir):
+    """pages as HTML files, extracted by the reader."""
+    prepare(spark)
+    files = table(spark, sf_dir, "pages").select(F.format_string("%d.html", "page_id").alias("path"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
+    return parse_files(files).withColumn("page_id", F.regexp_extract("path", r"(\d+)\.html", 1).cast("long"))
+
+
+def unescaped(t: str) -> str:
+    """SQL for the few entities that the pages' titles, links and lists hold."""
+    for name, sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        t = f"replace({t}, '{name}', {sign})"
+    return t
+
+
+TITLE, HREF, LABEL, ITEM = (unescaped(t) for t in ("regexp_extract(html, '<title>([^<]*)</title>', 1)", "regexp_extract(a, 'href=\"([^\"]*)\"', 1)", "regexp_extract(a, '>([^<]*)<', 1)", "regexp_replace(i, '<[^>]*>', '', 'g')"))
+
+
+@query(f"""SELECT page_id, trim({TITLE}) AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language,
+    len(regexp_extract_all(html, '<a href=')) AS num_links, len(regexp_extract_all(html, '<(ul|ol)>')) AS num_lists, len(regexp_extract_all(html, '<h[1-6]>')) AS num_headings FROM pages""")
+def html_metadata(spark, sf_dir):
+    field = lambda n, k="string": F.get_json_object("metadata", f"$.{n}").cast(k).alias(n)
+    return pages_html(spark, sf_dir).select("page_id", field("title"), field("language"), field("num_links", "long"), field("num_lists", "long"), field("num_headings", "long"))
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS links FROM pages),
+    x AS (SELECT page_id, generate_subscripts(links, 1) - 1 AS link_no, unnest(links) AS a FROM l)
+    SELECT page_id, link_no, {HREF} AS url, trim({LABEL}) AS text FROM x""")
+def html_links(spark, sf_dir):
+    links = F.from_json(F.get_json_object("structure", "$.links"), "array<struct<url:string,text:string>>")
+    return pages_html(spark, sf_dir).select("page_id", F.posexplode(links).alias("link_no", "l")).select("page_id", "link_no", "l.url", "l.text")
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<ul>(.*?)</ul>', 1), '<li>(.*?)</li>', 1) AS items FROM pages), x AS (SELECT page_id, generate_subscripts(items, 1) - 1 AS item_no, unnest(items) AS i FROM l)
+    SELECT page_id, item_no, trim({ITEM}) AS item FROM x""")
+def html_lists(spark, sf_dir):
+    lists = F.from_json(F.get_json_object("structure", "$.lists"), "array<struct<items:array<string>>>")
+    return pages_html(spark, sf_dir).select("page_id", F.posexplode(F.flatten(F.transform(lists, lambda x: x["items"]))).alias("item_no", "item"))
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    return pages_html(spark, sf_dir).select("page_id", F.col("text").alias("markdown"), "error")
+
+
+@query()
+def html_chunks(spark, sf_dir):
+    return chunking.chunk(pages_html(spark, sf_dir).select("page_id", "text", "ext"), "auto", 200, 20, key="page_id", ext="ext")
+
+
+@query("""SELECT CAST((r - 1) // 2 AS INT) AS chunk_id, conv_id, min(r) AS first_row, max(r) AS last_row, 'role|text' || chr(10) || string_agg(role || '|' || coalesce(text, ''), chr(10) ORDER BY r) AS text
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id, (r - 1) // 2""")
+def table_row_chunks(spark, sf_dir):
+    rows = turns(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), F.col("chunk_id").alias("turn"), F.concat_ws("|", "role", "text").alias("line"))
+    return chunking.row_chunks(rows, "conv_id", "turn", "line", 2, F.lit("role|text"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents, enriched and rendered: one compact text per document."""
     chunks = chunking.chunk(documents(spark, sf_dir), "auto", 200, 20).drop("section_name")
