@@ -9,7 +9,7 @@ from quire.functions import text as T
 from quire.operators import chunking, enrich, render
 from quire.sources import formats
 from quire.sources.read import parse_bytes as _parse_bytes
-from quire.sources.read import read_files
+from quire.sources.read import parse_files, read_files
 
 __all__ = ["Pipeline", "batch", "chunk", "extract_metadata", "get_format", "is_supported", "list_formats", "parse", "parse_bytes", "render_prompt"]
 
@@ -63,7 +63,7 @@ def batch(spark: SparkSession, paths: list[str], fail_fast: bool = False) -> Dat
     if not paths or len(paths) > MOST_FILES:
         raise ValueError(f"between 1 and {MOST_FILES} files, got {len(paths)}")
     order = spark.createDataFrame([(i, p, p.replace("file:", "").lstrip("/")) for i, p in enumerate(paths)], "ordinal int, asked string, tail string")
-    got = read_files(spark, ",".join(paths)) if len(paths) == 1 else _union(spark, paths)
+    got = _existing(spark, paths)
     found = got.withColumn("tail", F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^/+", ""))
     out = order.join(found, "tail", "left")
     error = F.coalesce("error", F.when(F.col("path").isNull(), F.lit("file not found")))
@@ -72,10 +72,17 @@ def batch(spark: SparkSession, paths: list[str], fail_fast: bool = False) -> Dat
     return out.select("ordinal", F.col("asked").alias("path"), error.isNull().alias("success"), T.preview("text", 500).alias("text_preview"), F.length("text").alias("total_characters"), T.word_count("text").alias("total_words"), error.alias("error")).orderBy("ordinal")
 
 
-def _union(spark: SparkSession, paths: list[str]) -> DataFrame:
-    from quire.sources.read import parse_files
+def _existing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Documents of those paths that exist; at most MOST_FILES are asked for, in any file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
-    return parse_files(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select("path", "content"))
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    found = [p for p in paths if there(p)]
+    files = spark.read.format("binaryFile").load(found) if found else spark.createDataFrame([], "path string, content binary")
+    return parse_files(files.select("path", "content"))
 
 
 list_formats = formats.list_formats

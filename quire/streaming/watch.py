@@ -78,5 +78,5 @@ def watch(spark: SparkSession, folder: str, state: str, sink: Callable[[DataFram
 
 def stream_new_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """Extracted documents of new files as a stream (files that change later aren't seen again)."""
-    source = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    source = spark.readStream.format("binaryFile").schema(f"{STATE}, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     return parse_files(source.load(folder).select("path", "content"))
