@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import chunking, enrich, render, structure
+from quire.operators import page_lines as lines_ops
 from quire.session import prepare, table
 from quire.sources.read import parse_files
 
@@ -374,6 +375,69 @@ def table_row_chunks(spark, sf_dir):
     return chunking.row_chunks(rows, "conv_id", "turn", "line", 2, F.lit("role|text"))
 
 
+def page_lines(spark, sf_dir):
+    """documents as paged books: a source is a book, a document a page, its lines stand one below the other.
+
+    Size and weight follow from the line, so that the SQL can make the same table.
+    """
+    d = documents(spark, sf_dir).where("text <> ''")
+    rows = d.select("source", "doc_id", F.posexplode(structure.text_lines("text")).alias("n", "text"), F.size(structure.text_lines("text")).alias("of"))
+    size = F.when(F.length("text") < 25, 16.0).when(F.length("text") < 45, 13.0).otherwise(11.0)
+    return rows.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), (F.col("doc_id") * 100000 + F.col("n")).alias("ordinal"), "text", size.alias("size"), (F.length("text") % 7 == 0).alias("bold"), (F.col("n") / F.col("of")).alias("y_frac"))
+
+
+LINES = r"""WITH d AS (SELECT source, doc_id, string_split(text, E'\n') AS ls FROM documents WHERE text <> ''),
+    m AS (SELECT source, doc_id, CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM d),
+    u AS (SELECT source AS doc_id, doc_id AS page, generate_subscripts(ls, 1) - 1 AS n, len(ls) AS cnt, unnest(ls) AS text FROM m),
+    l AS (SELECT doc_id, page, page * 100000 + n AS ordinal, text, CASE WHEN length(text) < 25 THEN 16.0 WHEN length(text) < 45 THEN 13.0 ELSE 11.0 END AS size, n / cnt AS y_frac FROM u)"""
+
+
+@query(f"""{LINES}, s AS (SELECT doc_id, size, sum(length(text)) FILTER (y_frac >= 0.1 AND y_frac <= 0.9) AS mid FROM l GROUP BY ALL)
+    SELECT doc_id, CAST(arg_max(size, mid) AS DOUBLE) AS body FROM s WHERE mid IS NOT NULL GROUP BY doc_id""")
+def body_font_size(spark, sf_dir):
+    return lines_ops.body_sizes(page_lines(spark, sf_dir))
+
+
+FORM = r"lower(trim(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '\s+', ' ', 'g')))"
+PLATE = " OR ".join(f"regexp_matches(text, '{p}')" for p in lines_ops.BOILERPLATE)
+
+
+@query(f"""{LINES}, b AS (SELECT *, {FORM} AS form, (y_frac < 0.1 OR y_frac > 0.9) AND length(text) <= 120 AS banded FROM l),
+    p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY ALL), c AS (SELECT doc_id, form, count(DISTINCT page) AS on_pages FROM b WHERE banded GROUP BY ALL),
+    r AS (SELECT doc_id, form FROM c JOIN p USING (doc_id) WHERE on_pages >= greatest(3, floor(pages * 0.02)))
+    SELECT b.doc_id, b.page, b.ordinal, CASE WHEN {PLATE} THEN 'boilerplate' ELSE 'running' END AS noise FROM b LEFT JOIN r ON b.doc_id = r.doc_id AND b.form = r.form AND b.banded WHERE r.form IS NOT NULL OR {PLATE}""")
+def page_noise(spark, sf_dir):
+    return lines_ops.with_noise(page_lines(spark, sf_dir), share=0.02).where("noise IS NOT NULL").select("doc_id", "page", "ordinal", "noise")
+
+
+@query()
+def page_headings(spark, sf_dir):
+    geometry = [F.lit(0.0).alias("x0"), F.lit(100.0).alias("x1"), (F.col("ordinal") % 100000 * 20.0).alias("y0"), (F.col("ordinal") % 100000 * 20.0 + 10).alias("y1")]
+    return lines_ops.headings(page_lines(spark, sf_dir).select("*", *geometry))
+
+
+SIGN = lines_ops.MATH_SIGNS
+
+
+@query(rf"""{LINES}, t AS (SELECT *, trim(text) AS t, regexp_replace(text, '\s', '', 'g') AS solid, regexp_matches(text, '{SIGN}') AS sign FROM l),
+    x AS (SELECT *, (length(solid) - length(regexp_replace(solid, '\d|{SIGN}', '', 'g'))) / greatest(length(solid), 1) AS density FROM t),
+    k AS (SELECT *, CASE WHEN t <> '' AND (regexp_matches(t, '^[\s\-_=|+]{{6,}}$') OR (regexp_matches(t, '\b(Dr|Cr|Debit|Credit)\b') AND {n_words('t')} <= 12) OR (contains(t, '|') AND NOT starts_with(t, '|') AND regexp_matches(t, '^[^|]*\d[^|]*\|.*\d'))) THEN 't_account'
+        WHEN t <> '' AND NOT starts_with(t, '|') AND ((regexp_matches(t, '^[A-Za-z][\w\s()''-]{{0,40}}=\s*\S') AND sign) OR (density >= 0.3 AND regexp_matches(t, '\d') AND sign)) THEN 'formula' END AS kind FROM x)
+    SELECT doc_id, page, ordinal, kind FROM k WHERE kind IS NOT NULL""")
+def maths_lines(spark, sf_dir):
+    return page_lines(spark, sf_dir).select("doc_id", "page", "ordinal", lines_ops.line_maths().alias("kind")).where("kind IS NOT NULL")
+
+
+@query()
+def maths_regions(spark, sf_dir):
+    return lines_ops.math_regions(page_lines(spark, sf_dir))
+
+
+@query()
+def mid_sentence_ends(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", lines_ops.ends_mid_sentence("text").alias("broken_off"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents, enriched and rendered: one compact text per document."""
     chunks = chunking.chunk(documents(spark, sf_dir), "auto", 200, 20).drop("section_name")
