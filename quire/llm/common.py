@@ -7,10 +7,13 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +45,7 @@ def staged_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads neither recompute it nor depend on the executors that made it."""
     path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -121,3 +124,75 @@ def same_all(left: str, right: str, names: list[str]) -> Column:
     for k in names:
         cond = cond & F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`"))
     return cond
+
+
+CHUNK_BITS = 16
+
+
+def write_bitmap(keys: DataFrame, bits: int) -> str:
+    """Marks the values of the column `key` (long, hashed) in a bitmap of 2 ** bits, written to the shared folder in chunks.
+
+    Its size is fixed. Testing a key against it never misses one that is there, and lets a few others through.
+    """
+    size = 1 << CHUNK_BITS
+    bit = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = keys.select(bit.alias("bit")).withColumn("chunk", F.shiftright("bit", CHUNK_BITS).cast("int")).repartition("chunk").sortWithinPartitions("chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, marks = None, np.zeros(size, bool)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(marks).tobytes()])], names=["chunk", "bits"])
+        for batch in batches:
+            chunks, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "bit"))
+            for c in np.unique(chunks):
+                if c != chunk:
+                    if chunk is not None:
+                        yield out()
+                    chunk, marks = int(c), np.zeros(size, bool)
+                marks[at[chunks == c] & (size - 1)] = True
+        if chunk is not None:
+            yield out()
+
+    folder = staged_path(keys.sparkSession, "bitmap")
+    rows.mapInArrow(run, "chunk int, bits binary").write.parquet(folder)
+    return folder
+
+
+@lru_cache(maxsize=4)
+def read_bitmap(folder: str, bits: int) -> np.ndarray:
+    """The bitmap as bytes, once for each Python worker."""
+    files, base = open_folder(folder)
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    size = (1 << CHUNK_BITS) // 8
+    for info in files.get_file_info(fs.FileSelector(base)):
+        if info.path.endswith(".parquet"):
+            with files.open_input_file(info.path) as f:
+                for row in pq.read_table(f, use_threads=False).to_pylist():
+                    out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & (len(bitmap) * 8 - 1)
+    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+#: Bits of the bitmaps that stand before joins; 2 ** 27 are 16 MB in each Python worker.
+JOIN_BITS = 27
+
+
+def likely(rows: DataFrame, ids: DataFrame, column: str, bits: int = JOIN_BITS) -> DataFrame:
+    """The rows whose `column` is in ids (one column), and a few others: what a join needs not shuffle is left out here."""
+    folder = write_bitmap(ids.toDF("id").select(F.xxhash64("id").alias("key")), bits)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = read_bitmap(folder, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(marks, batch.column("__key").to_numpy(zero_copy_only=False)))).select(names)
+
+    return rows.withColumn("__key", F.xxhash64(column)).mapInArrow(run, rows.schema)
+
+
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder in the shared place, for Python workers."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -4,11 +4,12 @@ Two small collections of `m` hashes, each of two minhashes, are computed for a t
 keys are all m * m pairs of a hash from the one and a hash from the other: as many tables as banding with 4 minhashes a
 band would need, from about the square root of the minhashes. Texts with equal sets are one vertex.
 
-Candidates are verified on full sets. First every vertex against the least vertex of each of its buckets; then, in
-buckets that still hold several components, all pairs between components that a comparison of their minhashes in
-blocks lets through. Pairs inside a component can't change it, so no link between different components is lost, and no
-bucket is ever expanded into all its pairs. m follows from the similarity: a pair just at it is missed with a
-probability below MISS.
+Candidates are verified on full sets. First every vertex against the least vertex of each of its buckets. Then, in
+buckets that still hold several components, the vertices with a partner in another component that sizes and minhashes
+allow (and that no earlier table has brought together) are compared exactly, block by block: a matrix product over the
+shared shingles of a block gives all intersections, and only the edges that join its rows leave the task. Pairs inside
+a component can't change it, so no link between different components is lost, and no pair of a bucket becomes a row.
+m follows from the similarity: a pair just at it is missed with a probability below MISS.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is kept; with fewer words than a
 shingle the whole sequence is the one shingle; a null doc_id is linked with nothing; rows that share a doc_id count as one
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_texts, mix64, slices, staged, with_group
+from quire.llm.common import JOIN_BITS, byte_texts, in_bitmap, likely, mix64, read_bitmap, slices, staged, with_group, write_bitmap
 
 MISS = 1e-4
 #: Rows of a block; a bucket is compared block by block.
@@ -121,9 +122,30 @@ def sketches(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, a array<long>, b array<long>, sig binary")
 
 
-def bucket_keys(nodes: DataFrame) -> DataFrame:
-    """node, key: the tensor of the two collections."""
-    return nodes.select("node", F.explode(F.expr("flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(x, y, i, j))))")).alias("key"))
+def bucket_keys(nodes: DataFrame, columns: list[str], only: DataFrame | None = None) -> DataFrame:
+    """key, pos (the table) and columns of nodes: the tensor of the two collections, one row for each table.
+
+    With `only` (a column of keys), rows whose key a bitmap of fixed size rules out aren't made.
+    """
+    folder = write_bitmap(only.toDF("key"), JOIN_BITS) if only is not None else None
+    types = dict(nodes.dtypes)
+    chosen = [c for c in columns if c not in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = read_bitmap(folder, JOIN_BITS) if folder else None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                a, b = (np.array(part.column(c).to_pylist(), np.int64).view(np.uint64) for c in ("a", "b"))
+                n, m = a.shape
+                table = np.arange(m * m, dtype=np.uint64).reshape(1, m, m)
+                keys = mix64(a[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + b[:, None, :] * np.uint64(0xC2B2AE3D27D4EB4F) + table * np.uint64(0x165667B19E3779F9))
+                keys = keys.reshape(-1).view(np.int64)
+                keep = np.flatnonzero(in_bitmap(marks, keys)) if folder else np.arange(len(keys))
+                row = pa.array(keep // (m * m))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array((keep % (m * m)).astype(np.int32)), *(part.column(c).take(row) for c in columns)], names=["key", "pos", *columns])
+
+    return nodes.select(*chosen, "a", "b").mapInArrow(run, "key long, pos int, " + ", ".join(f"{c} {types[c]}" for c in columns))
 
 
 def shared(sigs: list[bytes]) -> np.ndarray:
@@ -150,8 +172,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union. Only their texts move."""
-    ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id")
-    texts = staged(docs.select(F.col("doc_id").alias("id"), "text").join(ends, "id", "left_semi"), "near-texts")
+    ends = pairs.select("u").union(pairs.select("v"))
+    texts = staged(likely(docs.select(F.col("doc_id").alias("id"), "text"), ends, "id"), "near-texts")
     rows = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,58 +207,129 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def crossing(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs between components that share a bucket and that sizes and minhashes allow, found block by block."""
+def groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that agree on keys, from sorted batches; a run may span batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is None:
+            break
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        if rest and any(rest[-1].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            rest = []
+        for x, y in itertools.pairwise(bounds[:-1]):
+            yield pa.Table.from_batches([*rest, batch.slice(x, y - x)]).combine_chunks().to_batches()[0]
+            rest = []
+        rest.append(batch.slice(bounds[-2]))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def open_rows(group: pa.RecordBatch, least: int, similarity: float) -> np.ndarray:
+    """Which rows of a block have a partner in another component that sizes and minhashes allow and that no earlier
+    table brings together: each pair is looked at in one bucket only."""
+    pos, low, high, mine, comp, size = numbers(group, "pos", "low", "high", "mine", "comp", "n_shingles")
+    a, b = (np.array(group.column(c).to_pylist(), np.int64) for c in ("a", "b"))
+    sig = shared(group.column("sig").to_pylist())
+    i, j = divmod(int(pos[0]), a.shape[1])
+    out = np.zeros(len(comp), bool)
+    for start in range(0, len(comp), 128):
+        part = slice(start, start + 128)
+        ok = comp[part, None] != comp[None, :]
+        if low[0] != high[0]:
+            ok &= mine[part, None] != mine[None, :]
+        ok &= np.minimum(size[part, None], size[None, :]) >= similarity * np.maximum(size[part, None], size[None, :]) - 1e-9
+        for values, first in ((a, i), (b, j)):
+            for k in range(first):
+                ok &= values[part, None, k] != values[None, :, k]
+        if not ok.any():
+            continue
+        same = np.zeros(ok.shape, np.int16)
+        for k in range(sig.shape[1]):
+            same += sig[part, None, k] == sig[None, :, k]
+        ok &= same >= least
+        out[part] |= ok.any(1)
+        out |= ok.any(0)
+    return out
+
+
+def joined_rows(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set, the first one of the block that a chain of links leads to. Intersections of all pairs are a matrix
+    product over the shingles that two sets or more hold, so nothing is emitted for a pair."""
+    n = len(sets)
+    sizes = np.array(list(map(len, sets)), np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[inverse] > 1
+    owner, inverse = owner[common], np.unique(inverse[common], return_inverse=True)[1]
+    order = np.argsort(inverse, kind="stable")
+    owner, inverse = owner[order], inverse[order]
+    both = np.zeros((n, n), np.float32)
+    width = 4096
+    for start in range(0, int(inverse[-1]) + 1 if len(inverse) else 0, width):
+        x, y = np.searchsorted(inverse, [start, start + width])
+        block = np.zeros((n, width), np.float32)
+        block[owner[x:y], inverse[x:y] - start] = 1
+        both += block @ block.T
+    inter = np.rint(both).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - inter
+    linked = (100 * inter >= percent * union) & (union > 0)
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        lower = np.where(linked, label[None, :], n).min(1)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def crossing(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """Edges (u, v) between components that a bucket's exact comparison joins, at most one for each row of a block."""
+    similarity = percent / 100
     least = least_shared(similarity, 4 * tables(similarity))
-    members = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    large = buckets.where("n > 2")
-    placed = bucket_keys(nodes).join(large.select("key", "n"), "key").join(members.select("node", "comp"), "node")
-    mixed = staged(placed.groupBy("key", "n").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "n"), "near-mixed")
+    members = staged(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-members")
+    large = bucket_keys(members, ["comp"], buckets.where("n > 2").select("key"))
+    mixed = staged(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 AND lo <> hi").select("key", "n"), "near-mixed")
     if mixed.isEmpty():
         return None
-    rows = bucket_keys(nodes).join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = bucket_keys(members, ["node", "comp", "n_shingles", "a", "b", "sig"], mixed.select("key")).join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node")
-    rows = rows.join(members.select("node", "comp", "n_shingles", "sig"), "node")
-    spread = [c for c in ("key", "low", "high")]
-    rows = rows.repartition(*spread).sortWithinPartitions(*spread)
-
-    def compare(comp, mine, low, high, size, sig, node):
-        out = []
-        for i in range(0, len(node), 128):
-            part = slice(i, i + 128)
-            same = np.zeros((len(node[part]), len(node)), np.int16)
-            for k in range(sig.shape[1]):
-                same += sig[part, None, k] == sig[None, :, k]
-            ok = (same >= least) & (comp[part, None] != comp[None, :]) & (node[part, None] < node[None, :])
-            ok &= np.minimum(size[part, None], size[None, :]) >= similarity * np.maximum(size[part, None], size[None, :]) - 1e-9
-            if low != high:
-                ok &= mine[part, None] != mine[None, :]
-            x, y = np.nonzero(ok)
-            out.append((node[part][x], node[y]))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    rows = rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    block = ("key", "low", "high")
+    near = rows.select(*block, "pos", "mine", "node", "comp", "n_shingles", "a", "b", "sig").repartition(*block).sortWithinPartitions(*block)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, block):
+            if group.num_rows > 1:
+                keep = open_rows(group, least, similarity)
+                if keep.any():
+                    yield group.select([*block, "node"]).filter(pa.array(keep))
+
+    found = staged(near.mapInArrow(find, "key long, low int, high int, node long"), "near-open")
+    if found.isEmpty():
+        return None
+    texts = likely(docs.select(F.col("doc_id").alias("node"), "text"), found.select("node"), "node")
+    dealt = found.join(texts, "node").select(*block, "node", "text").repartition(*block).sortWithinPartitions(*block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            table = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks() if rest is not None or batch is not None else None
-            if table is None or not table.num_rows:
-                continue
-            whole = table.to_batches()[0]
-            c = {n: whole.column(n).to_numpy(zero_copy_only=False) for n in ("key", "low", "high", "mine", "node", "comp", "n_shingles")}
-            change = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])) + 1
-            bounds = [0, *change.tolist(), whole.num_rows]
-            if batch is not None:
-                rest = whole.slice(bounds[-2])
-                bounds.pop()
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in itertools.pairwise(bounds):
-                if y - x > 1:
-                    u, v = compare(c["comp"][x:y], c["mine"][x:y], c["low"][x], c["high"][x], c["n_shingles"][x:y], shared(whole.column("sig").slice(x, y - x).to_pylist()), c["node"][x:y])
-                    us.append(u), vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    return rows.select("key", "low", "high", "mine", "node", "comp", "n_shingles", "sig").mapInArrow(run, "u long, v long").distinct()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, block):
+            label = joined_rows(shingle_sets(byte_texts(group.column("text")), words), percent)
+            node = group.column("node").to_numpy()
+            moved = label != np.arange(len(label))
+            yield pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], names=["u", "v"])
+
+    return dealt.mapInArrow(join, "u long, v long").where("u <> v").distinct()
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
@@ -246,17 +339,16 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = staged(with_group(found.where(usable), ["digest"], ["doc_id"], F.col("doc_id")).withColumnRenamed("least", "node").drop("size", "digest"), "near-classes")
     nodes = staged(classes.where("doc_id = node").drop("doc_id").dropDuplicates(["node"]).select("node", "n_shingles", "a", "b", "sig"), "near-nodes")
-    keys = bucket_keys(nodes)
-    buckets = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "near-buckets")
-    stars = keys.join(buckets, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
+    buckets = staged(bucket_keys(nodes, ["node"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "near-buckets")
+    stars = bucket_keys(nodes, ["node"], buckets.select("key")).join(buckets, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
     tested = staged(plausible(stars, nodes, similarity), "near-stars")
     links = staged(verified(tested, docs, percent, words), "near-links")
     labels = components(links)
-    more = crossing(nodes, buckets, labels, similarity)
+    more = crossing(docs, nodes, buckets, labels, percent, words)
     if more is not None:
-        more = staged(more.join(tested, ["u", "v"], "left_anti"), "near-crossing")
+        more = staged(more, "near-crossing")
         if not more.isEmpty():
-            labels = components(links.union(verified(more, docs, percent, words)))
+            labels = components(links.union(more))
     placed = classes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
     alone = found.where(~usable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, staged, staged_path, with_group
+from quire.llm.common import open_folder, slices, staged, staged_path, with_group
 
 BLOCK = 512
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,10 +90,6 @@ def gunzip_member(data: bytes) -> bytes:
     return zlib.decompress(data, 31)
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def page_number(urn: str) -> int | None:
     found = urn.removeprefix("<urn:page:").removesuffix(">")
     return None if found == "None" else int(found)
