@@ -140,7 +140,7 @@ def marked(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 def contexts(docs: DataFrame, folder: str, window: int) -> DataFrame:
-    """doc_id, row (hash of the text), start, n (windows), anchor, heavy, digest and words of each marked anchor's context."""
+    """doc_id, row (hash of the text), start, n (windows), anchor, heavy, digest (of heavy ones) and words of each marked anchor's context."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +158,11 @@ def contexts(docs: DataFrame, folder: str, window: int) -> DataFrame:
                 offset = np.cumsum([0, *map(len, split)])[which]
                 own = first - offset
                 words = [b" ".join(split[t][a : a + k + window - 1]) for t, a, k in zip(which.tolist(), own.tolist(), n.tolist(), strict=True)]
-                digests = [hashlib.blake2b(w, digest_size=16).digest() for w in words]
+                much = marked(heavy, h[begin])
+                digests = [hashlib.blake2b(w, digest_size=16).digest() if m else None for w, m in zip(words, much.tolist(), strict=True)]
                 ids, rows = part.column("doc_id").take(pa.array(which)), part.column("row").take(pa.array(which))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, rows, pa.array(own, pa.int64()), pa.array(n, pa.int32()), pa.array(h[begin]), pa.array(marked(heavy, h[begin])), pa.array(digests, pa.binary()), pa.array(words, pa.binary())],
+                    [ids, rows, pa.array(own, pa.int64()), pa.array(n, pa.int32()), pa.array(h[begin]), pa.array(much), pa.array(digests, pa.binary()), pa.array(words, pa.binary())],
                     names=["doc_id", "row", "start", "n", "anchor", "heavy", "digest", "words"],
                 )
 
