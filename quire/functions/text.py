@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: All white space that separates words (fixed values: the Unicode set that word splitting has to use).
 SPACE = r"[\s\u00a0\u0085\u001c-\u001f\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u1680]"
+#: Everything else, ASCII first: as ranges, a class is much faster than the negation of a set.
+SOLID = r"[\x21-\x84\u0086-\u009f\u00a1-\u167f\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\uffff\x{10000}-\x{10ffff}\x00-\x08\x0e-\x1b]"
 SENTENCE_MARKS = r"[.!?]+"
 TRIM_MARKS = ".,!?;:"
 
@@ -15,6 +17,11 @@ def _c(text: str | Column) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: a CASE that names an expression three times would compute it three times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def round2(x: Column) -> Column:
     """Two places, from the binary value: F.round goes through the shortest decimal, so 4.725 (in binary a little less) would become 4.73."""
     return F.floor(x * 100 + 0.5) / 100
@@ -29,11 +36,12 @@ def words(text: str | Column) -> Column:
 
 
 def word_count(text: str | Column) -> Column:
-    return F.regexp_count(_c(text), F.lit(SPACE.replace("[", "[^", 1) + "+")).cast("long")
+    return F.regexp_count(_c(text), F.lit(SOLID + "+")).cast("long")
 
 
 def sentence_count(text: str | Column) -> Column:
-    return F.size(F.filter(F.split(_c(text), SENTENCE_MARKS), lambda s: strip(s) != "")).cast("long")
+    """Runs between sentence marks that hold more than white space; counted by one expression, without an array."""
+    return F.regexp_count(_c(text), F.lit(f"[^.!?{SPACE[1:-1]}][^.!?]*")).cast("long")
 
 
 def sentences(text: str | Column) -> Column:
@@ -46,28 +54,37 @@ def paragraphs(text: str | Column) -> Column:
 
 
 def avg_word_length(text: str | Column) -> Column:
-    found = words(text)
-    total = F.aggregate(found, F.lit(0), lambda a, w: a + F.length(F.regexp_replace(w, f"^[{TRIM_MARKS}]+|[{TRIM_MARKS}]+$", "")))
-    return F.when(F.size(found) == 0, F.lit(0.0)).otherwise(round2(total / F.size(found)))
+    """Characters of words without the marks at their ends, by the number of words."""
+    bare = F.regexp_replace(_c(text), f"(?<!{SOLID})[{TRIM_MARKS}]+|[{TRIM_MARKS}]+(?!{SOLID})", "")
+    return let(word_count(text), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(round2(F.length(F.regexp_replace(bare, f"{SPACE}+", "")) / n)))
 
 
 def reading_time(text: str | Column, words_per_minute: int = 200) -> Column:
-    minutes = word_count(text) / F.lit(words_per_minute)
-    return F.when(minutes < 1, F.concat(F.floor(minutes * 60).cast("string"), F.lit(" sec"))).otherwise(F.concat(F.floor(minutes).cast("string"), F.lit(" min")))
+    show = lambda m: F.when(m < 1, F.concat(F.floor(m * 60).cast("string"), F.lit(" sec"))).otherwise(F.concat(F.floor(m).cast("string"), F.lit(" min")))
+    return let(word_count(text) / F.lit(words_per_minute), show)
+
+
+def plain_words(text: str | Column) -> Column:
+    """The lower-case ASCII words, each between single spaces: tokens with other letters or digits are taken out."""
+    apart = F.concat(F.lit(" "), F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}_]+", "  "), F.lit(" "))
+    return F.regexp_replace(apart, r" [a-z]*[^a-z ][^ ]* ", " ")
 
 
 def avg_syllables(text: str | Column) -> Column:
     """Mean vowel groups of the ASCII words (1 at least each), rounded to 2 places."""
-    plain = F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]+$"))
-    total = F.aggregate(plain, F.lit(0), lambda a, w: a + F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+"))))
-    return F.when(F.size(plain) == 0, F.lit(1.0)).otherwise(round2(total / F.size(plain)))
+    counts = lambda w: F.struct(F.regexp_count(w, F.lit("[a-z]+")).alias("n"), (F.regexp_count(w, F.lit("[aeiouy]+")) + F.regexp_count(w, F.lit("(?<= )[b-df-hj-np-tv-xz]+(?= )"))).alias("total"))
+    return let(let(plain_words(text), counts), lambda c: F.when(c["n"] == 0, F.lit(1.0)).otherwise(round2(c["total"] / c["n"])))
 
 
 def complexity_score(text: str | Column) -> Column:
     """Reading ease between 0 (hard) and 100; 50 without words or sentences."""
-    n_words, n_sentences = word_count(text), sentence_count(text)
-    score = F.lit(206.835) - F.lit(1.015) * (n_words / n_sentences) - F.lit(84.6) * avg_syllables(text)
-    return F.when((n_words == 0) | (n_sentences == 0), F.lit(50.0)).otherwise(round2(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))))
+    parts = F.struct(word_count(text).alias("w"), sentence_count(text).alias("s"), avg_syllables(text).alias("y"))
+
+    def score(p: Column) -> Column:
+        ease = F.lit(206.835) - F.lit(1.015) * (p["w"] / p["s"]) - F.lit(84.6) * p["y"]
+        return F.when((p["w"] == 0) | (p["s"] == 0), F.lit(50.0)).otherwise(round2(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease))))
+
+    return let(parts, score)
 
 
 def computed(text: str | Column) -> Column:

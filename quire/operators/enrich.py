@@ -41,9 +41,10 @@ def phrases(text: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> Column:
 
     Tokens are joined to one string in which breaks are a control character, and split there: no fold is needed.
     """
-    plain = lambda s: F.filter(F.split(s, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]+$"))
-    marked = F.transform(F.split(F.lower(F.col(text)), "[.!?;]"), lambda s: F.array_join(F.transform(plain(s), lambda w: F.when(w.isin(list(stop)) | (F.length(w) < 3), F.lit(BREAK)).otherwise(w)), " "))
-    return F.filter(F.transform(F.split(F.array_join(marked, BREAK), BREAK), lambda p: F.trim(p)), lambda p: p != "")
+    apart = F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), "[.!?;]", BREAK), rf"[^\p{{L}}\p{{N}}_{BREAK}]+|(?<={BREAK})|(?={BREAK})", "  ")
+    words = F.split(F.regexp_replace(F.concat(F.lit(" "), apart, F.lit(" ")), rf" [a-z]*[^a-z {BREAK}][^ ]* ", " "), " +")
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(list(stop)) | ((F.length(w) < 3) & (w != "")), F.lit(BREAK)).otherwise(w)), " ")
+    return F.filter(F.transform(F.split(marked, BREAK), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def rake(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text", top_k: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import chunking, enrich, render, structure
 from quire.operators import page_lines as lines_ops
-from quire.session import prepare, table
+from quire.session import prepare, spread, table
 from quire.sources.read import parse_files
 
 QUERIES = {}
@@ -42,7 +42,7 @@ def query(sql: str | None = None):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +322,7 @@ def parse_projection(spark, sf_dir):
 def pages_html(spark, sf_dir):
     """pages as HTML files, extracted by the reader."""
     prepare(spark)
-    files = table(spark, sf_dir, "pages").select(F.format_string("%d.html", "page_id").alias("path"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
+    files = spread(table(spark, sf_dir, "pages")).select(F.format_string("%d.html", "page_id").alias("path"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
     return parse_files(files).withColumn("page_id", F.regexp_extract("path", r"(\d+)\.html", 1).cast("long"))
 
 

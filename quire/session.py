@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -38,3 +38,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; Spark alone opens the path, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer: one small file is one task otherwise.
+
+    Tables of a cluster's size have more partitions than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.rdd().getNumPartitions() < cores else df
