@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from quire.llm.common import slices
 
 #: Pieces and states that are kept; beyond it, states start anew and pieces lose their older half.
-KEPT = 250_000
+KEPT = 150_000
 #: Bytes after which a long piece gives out the tokens that are certain.
 RUN = 1024
 NEVER = 1 << 60
+LOW = (1 << 24) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,10 +66,11 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, 0),)
+        """A hypothesis is (last token + 1) << 24 | node, a move's value state << 24 | (ended token + 1): plain numbers, for memory."""
+        start = (0,)
         self.states = {start: 0}
         self.sets = [start]
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: join the neighbours of least rank, leftmost first, until none joins."""
@@ -101,30 +103,30 @@ class Transducer:
         key = a << 24 | b
         got = self._fits.get(key)
         if got is None:
-            if len(self._fits) > 4 * KEPT:
+            if len(self._fits) > 2 * KEPT:
                 self._fits.clear()
             got = self._fits[key] = self.alone(b) and self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def _move(self, state: int, byte: int) -> int:
         grown, ended = [], -1
-        for last, node in self.sets[state]:
-            to = self.children[node].get(byte)
+        for h in self.sets[state]:
+            to = self.children[h & LOW].get(byte)
             if to is None:
                 continue
             if self.children[to]:
-                grown.append((last, to))
+                grown.append(h & ~LOW | to)
             token = self.token[to]
-            if ended < 0 <= token and self.fits(last, token):
+            if ended < 0 <= token and self.fits((h >> 24) - 1, token):
                 ended = token
         if ended >= 0:
-            grown.append((ended, 0))
+            grown.append((ended + 1) << 24)
         key = tuple(grown)
         number = self.states.get(key)
         if number is None:
             number = self.states[key] = len(self.sets)
             self.sets.append(key)
-        return number, ended
+        return number << 24 | (ended + 1)
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -140,8 +142,8 @@ class Transducer:
             step = moves.get(state << 8 | byte)
             if step is None:
                 step = moves[state << 8 | byte] = self._move(state, byte)
-            state, ended = step
-            ends.append(ended)
+            state = step >> 24
+            ends.append((step & LOW) - 1)
             if len(ends) >= RUN:
                 yield from self._agreed(ends, state)
                 if len(self.sets) > 2 * KEPT:  # a single huge piece: go on from the state at hand with an empty store
@@ -162,8 +164,8 @@ class Transducer:
     def _agreed(self, ends: list[int], state: int) -> list[int]:
         """Takes from ends what all live hypotheses have in common. They start at most one token's length back."""
         depth, chains = self._depths(), []
-        for _, node in self.sets[state]:
-            at, chain = len(ends) - depth[node], []
+        for h in self.sets[state]:
+            at, chain = len(ends) - depth[h & LOW], []
             while at > 0:
                 chain.append(ends[at - 1])
                 at -= self.length[ends[at - 1]]
