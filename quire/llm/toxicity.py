@@ -95,9 +95,10 @@ def train(texts: list[bytes], marks: np.ndarray, epochs: int = 8, rate: float =
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in x if times[w] >= least], np.int64) for x in split]
     if not vocabulary:
         return Model(np.zeros(BUCKETS), -500.0)
-    lists = [grams(w) for w in vocabulary]
+    lists = [np.array(grams(w), np.int32) for w in vocabulary]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((g for x in lists for g in x), np.int64, int(sizes.sum()))
+    flat = np.concatenate(lists)
+    del lists, split, times
     ends = np.cumsum(sizes)
     starts = ends - sizes
     table = rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH
