@@ -78,6 +78,11 @@ def byte_texts(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 
+def free_arrow() -> None:
+    """Gives back what Arrow holds of past batches: workers stay, and their pools would add up on an executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def word_ids(split: list[list[bytes]], known: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Dense numbers of all words in order, and the number of words of each text."""
     known = {} if known is None else known
@@ -136,7 +141,7 @@ def write_bitmap(keys: DataFrame, bits: int) -> str:
     """
     size = 1 << CHUNK_BITS
     bit = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = keys.select(bit.alias("bit")).withColumn("chunk", F.shiftright("bit", CHUNK_BITS).cast("int")).repartition("chunk").sortWithinPartitions("chunk")
+    rows = keys.select(bit.alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", CHUNK_BITS).cast("int")).repartition("chunk").sortWithinPartitions("chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, marks = None, np.zeros(size, bool)
@@ -157,7 +162,7 @@ def write_bitmap(keys: DataFrame, bits: int) -> str:
     return folder
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def read_bitmap(folder: str, bits: int) -> np.ndarray:
     """The bitmap as bytes, once for each Python worker."""
     files, base = open_folder(folder)
@@ -188,7 +193,12 @@ def likely(rows: DataFrame, ids: DataFrame, column: str, bits: int = JOIN_BITS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = read_bitmap(folder, bits)
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(marks, batch.column("__key").to_numpy(zero_copy_only=False)))).select(names)
+            keep = in_bitmap(marks, batch.column("__key").to_numpy(zero_copy_only=False))
+            for start in range(0, batch.num_rows, 512):  # small batches: both sides hold one of them at a time
+                some = keep[start : start + 512]
+                if some.any():
+                    yield batch.slice(start, 512).filter(pa.array(some)).select(names)
+            free_arrow()
 
     return rows.withColumn("__key", F.xxhash64(column)).mapInArrow(run, rows.schema)
 

@@ -26,14 +26,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_texts, slices, staged, staged_path
-from quire.llm.warc import open_folder
+from quire.llm.common import byte_texts, free_arrow, likely, open_folder, slices, staged, staged_path
 
 ORDER = 6
-RUN = 1 << 21
+RUN = 1 << 20
 SHARDS = 12
 #: Model rows that a Python worker keeps in memory; 13 bytes each.
-MODEL_ROWS = 6_000_000
+MODEL_ROWS = 5_000_000
 
 
 def keys_of(piece: np.ndarray) -> np.ndarray:
@@ -78,9 +77,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     both = np.concatenate([keys, k])
                     keys, inverse = np.unique(both, return_inverse=True)
                     times = np.bincount(inverse, np.concatenate([times, n]), len(keys)).astype(np.int64)
-                    if len(keys) > 2_000_000:
+                    if len(keys) > 1_000_000:
                         yield from out()
-                        keys, times = keys[:0], times[:0]
+                        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            free_arrow()
         yield from out()
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
@@ -170,7 +170,7 @@ class Shards:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def shards(folder: str) -> Shards:
     return Shards(folder)
 
@@ -219,6 +219,7 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     perplexity = np.exp(-total / size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(size), pa.array(perplexity, mask=size == 0)], names=["doc_id", "lang", "n_bytes", "perplexity"])
+            free_arrow()
 
     return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {types['doc_id']}, lang {types['lang']}, n_bytes long, perplexity double")
 
@@ -231,7 +232,8 @@ def calibration() -> Column:
 def quality_by_perplexity(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept: one row per row of docs."""
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    folder = train(docs.select("doc_id", "text").join(trusted.where(~calibration()), "doc_id", "left_semi"))
+    taught = trusted.where(~calibration())
+    folder = train(likely(docs.select("doc_id", "text"), taught, "doc_id").join(taught, "doc_id", "left_semi"))
     if folder is None:
         return docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold")).withColumn("kept", F.col("n_bytes") > 0)
     scored = staged(score(docs, folder), "lm-scores")

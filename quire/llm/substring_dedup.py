@@ -120,7 +120,7 @@ def mark_repeated(counts: DataFrame) -> str:
     return folder
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def marks(folder: str) -> tuple[np.ndarray, np.ndarray]:
     files, base = open_folder(folder)
     out = np.zeros((1 << BITS) // 8, np.uint8), np.zeros((1 << BITS) // 8, np.uint8)
