@@ -8,8 +8,9 @@ n-grams carry the vectors, a misspelling unseen in training shares most of a kno
 The model is linear after the means, so scoring needs one number for each n-gram, and one for each word met.
 
 Defined results: null or empty text scores what the model gives a text without words (its bias, below 0.5); words are
-the runs of non-white-space, with A-Z lowered and ASCII punctuation stripped at both ends; without labelled rows of both
-kinds every score is 0. Memory: texts in runs of 2 MB; the word store starts anew when full.
+the runs of non-white-space, with A-Z lowered and ASCII punctuation stripped at both ends; one of over LONGEST code points
+(text without spaces, URLs) counts as words of PIECE code points that overlap by half, so that every part of it is seen;
+without labelled rows of both kinds every score is 0. Memory: texts in runs of 2 MB; the word store starts anew when full.
 
 The bound of the training sample is `sample` rows a class, those of least hash; scores cover all rows.
 """
@@ -31,18 +32,34 @@ BUCKETS = 1 << 16
 WIDTH = 8
 PASSAGE = 2
 SHORT, LONG = 3, 6
+#: Code points of the longest word that is taken whole, and of the pieces of longer ones.
+LONGEST, PIECE = 64, 16
 #: Rows of each class in the training sample.
 SAMPLE = 3000
 STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return [w for w in (x.strip(STRIP) for x in text.lower().split()) if w]
+    words = [w for w in (x.strip(STRIP) for x in text.lower().split()) if w]
+    if max(map(len, words), default=0) > LONGEST:
+        return [p for w in words for p in pieces(w)]
+    return words
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """The word, or overlapping pieces of a long one; a space marks an end of a piece that is none of the word."""
+    if len(word) <= LONGEST:
+        return [word]
+    s = word.decode("utf-8", "replace")
+    if len(s) <= LONGEST:
+        return [word]
+    starts = range(0, len(s) - PIECE // 2, PIECE // 2)
+    return [(" " * (i > 0) + s[i : i + PIECE] + " " * (i + PIECE < len(s))).encode() for i in starts]
 
 
 def grams(word: bytes) -> list[int]:
-    """Table rows of the word's character n-grams (of code points) and of the whole word, ends marked."""
-    s = f"<{word.decode('utf-8', 'replace')[:64]}>"
+    """Table rows of the character n-grams (of code points) of a word or piece and of all of it, a word's ends marked."""
+    s = f"<{word.decode('utf-8', 'replace')}>".removeprefix("< ").removesuffix(" >")
     found = {zlib.crc32(s[i : i + n].encode()) % BUCKETS for n in range(SHORT, LONG + 1) for i in range(len(s) - n + 1)}
     found.add(zlib.crc32(b"=" + word) % BUCKETS)
     return sorted(found)

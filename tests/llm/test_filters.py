@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,6 +99,28 @@ def test_toxicity_edges(spark):
     assert len({r["score"] for r in toxicity.toxicity(repeated, labels).collect()}) == 1
 
 
+def test_toxicity_sees_every_part_of_a_long_word():
+    bad = "\u574f\u8bdd\u8fde\u7bc7\u554a\u5440"
+    score = np.zeros(toxicity.BUCKETS)
+    score[toxicity.grams(b" " + bad.encode() + b" ")] = 100.0
+    model = toxicity.Model(score, -1.0)
+    clean = model.score(("\u597d" * 5000).encode())
+    for at in (0, 63, 64, 70, 77, 1000, 4999):
+        for filler in ("\u597d", "ab_"):
+            run = (filler * 5000)[:at] + bad + (filler * 5000)[at:5000]
+            assert model.score(run.encode()) > 0.5 > clean, at
+    rng = random.Random(3)
+    for n in (1, 64, 65, 72, 73, 500):
+        word = "".join(rng.choice("abcd\u00e9\u4e2d") for _ in range(n))
+        s = f"<{word}>"
+        want = {zlib.crc32(s[i : i + k].encode()) % toxicity.BUCKETS for k in range(3, 7) for i in range(len(s) - k + 1)}
+        parts = toxicity.words_of(word.encode())
+        got = {g for p in parts for g in toxicity.grams(p)}
+        wholes = {zlib.crc32(b"=" + p) % toxicity.BUCKETS for p in parts}
+        assert want <= got <= want | wholes
+        assert all(len(p.decode()) <= toxicity.LONGEST for p in parts) and (n > 64 or parts == [word.encode()])
+
+
 def brute_model(texts, order=ngram_lm.ORDER):
     """Interpolated modified Kneser-Ney by dictionaries."""
     counts = {order: Counter()}
