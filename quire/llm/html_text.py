@@ -50,6 +50,9 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+#: What may hold these in a table; a td or th that finds no tr gets one.
+SECTIONS = frozenset("thead tbody tfoot".split())
+HOLDERS = {"td": SECTIONS | {"tr"}, "th": SECTIONS | {"tr"}, "tr": SECTIONS} | {tag: frozenset() for tag in (*SECTIONS, "caption", "colgroup")}
 WALLS = frozenset("table td th caption button object template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
@@ -95,6 +98,8 @@ def parse(source: str) -> Node:
             continue
         raw = m[3]
         _imply(stack, tag)
+        if tag == "form" and (stack[-1].tag in SECTIONS or stack[-1].tag in ("table", "tr")):
+            continue  # a form around rows or cells holds nothing
         node = Node(tag, attributes_of(raw) if raw and not raw.isspace() else {})
         stack[-1].children.append(node)
         if tag in RAW or tag in ESCAPABLE:
@@ -110,7 +115,19 @@ def parse(source: str) -> Node:
 
 
 def _imply(stack: list[Node], tag: str) -> None:
-    """Ends what a start tag ends by itself."""
+    """Ends what a start tag ends by itself, and opens the row that a cell lacks."""
+    holders = HOLDERS.get(tag)
+    if holders is not None:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "template":
+                break
+            if stack[i].tag == "table" or stack[i].tag in holders:
+                del stack[i + 1 :]
+                if tag in ("td", "th") and stack[i].tag != "tr" and len(stack) < DEPTH:
+                    row = Node("tr", {})
+                    stack[i].children.append(row)
+                    stack.append(row)
+                return
     if tag in ENDS_P:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == "p":
@@ -368,19 +385,26 @@ def rows_of(node: Node, visible: bool) -> Iterator[tuple[Node, bool]]:
                 yield from rows_of(child, seen)
 
 
-def table(node: Node, out: Layout, visible: bool, pre: bool) -> None:
-    """Cells in aligned columns; what stands in a table outside of rows comes before them."""
-    out.open(1)
+def loose(node: Node, out: Layout, visible: bool, pre: bool) -> None:
+    """What stands in a table or its row groups outside of rows; browsers move it out, so a hidden group doesn't hide it."""
     for child in node.children:
         if isinstance(child, str):
             if visible:
                 out.text(child)
-        elif child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
+        elif child.tag in SECTIONS or child.tag == "colgroup":
+            loose(child, out, visible, pre)
+        elif child.tag not in ("tr", "col"):
             gone, seen = unseen(child, visible)
             if not gone:
                 element(child, out, seen, pre)
                 if child.tag == "caption":
                     out.flush()
+
+
+def table(node: Node, out: Layout, visible: bool, pre: bool) -> None:
+    """Cells in aligned columns; what stands in a table outside of rows comes before them."""
+    out.open(1)
+    loose(node, out, visible, pre)
     out.flush()
     grid: list[list[tuple[int, int, list[str]]]] = []  # rows of (column, span, lines)
     taken: dict[tuple[int, int], bool] = {}

@@ -204,6 +204,28 @@ def test_html_edges(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_html_tables_with_implied_rows_and_loose_content():
+    grid = "Name  Age\nx     y"
+    for source in (
+        "<table><thead><th>Name<th>Age<tbody><tr><td>x<td>y</table>",
+        "<table><tbody><th>Name</th><th>Age</th></tbody><td>x<td>y</table>",
+        "<table><form><tr><td>Name</td><td>Age</td></tr><tr><td>x<td>y</form></table>",
+        "<table><tbody><form style='display:none'><tr><td>Name<td>Age<tr><form><td>x<td>y</table>",
+        "<table><div><td>Name<td>Age</div><tr><td>x<td>y</table>",
+    ):
+        assert html_text.extract(source) == grid, source
+    assert html_text.extract("<table><td>x<td>y</table>") == "x  y"
+    assert html_text.extract("<table><caption>c<td>x<td>y</table>") == "c\nx  y"
+    for part in ("thead", "tbody", "tfoot"):
+        got = html_text.extract(f"<table><tr><td>a</td></tr><{part}>t<div>d</div><b>e</b><tr><td>x<td>y</tr>u</{part}></table>z")
+        assert sorted(got.split()) == sorted("a d eu t x y z".split()), got
+    assert html_text.extract("<table><colgroup>t<col></colgroup><tr><td>x</table>").split() == ["t", "x"]
+    assert html_text.extract("<table><tbody hidden><td>x<td>y</tbody><tbody><td>z</table>") == "z"
+    for depth in range(145, 153):
+        assert sorted(html_text.extract("<div>" * depth + "<table><td>x <td>y <form>f</table>").split()) == ["f", "x", "y"]
+    assert html_text.extract("<table><tr><td>a<table><td>b<td>c</table>d<td>e</table>").split() == ["a", "e", "b", "c", "d"]
+
+
 def test_html_of_pages_keeps_all_visible_text(spark, data):
     import re
 
