@@ -57,6 +57,8 @@ WALLS = frozenset("table td th caption button object template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+#: For the source as it is: lowering it moves the offsets behind letters such as a dotted capital I.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW | ESCAPABLE}
 SPACE = re.compile(r"[ \t\n\f\r]+")
 DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -80,7 +82,6 @@ def parse(source: str) -> Node:
     root = Node("#root", {})
     stack = [root]
     at = 0
-    lower = None
     while True:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
@@ -103,9 +104,8 @@ def parse(source: str) -> Node:
         node = Node(tag, attributes_of(raw) if raw and not raw.isspace() else {})
         stack[-1].children.append(node)
         if tag in RAW or tag in ESCAPABLE:
-            lower = source.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            end = len(source) if end < 0 else end
+            found = RAW_END[tag].search(source, at)
+            end = found.start() if found else len(source)
             inner = source[at:end]
             node.children.append(html.unescape(inner) if tag in ESCAPABLE else inner)
             close = source.find(">", end)

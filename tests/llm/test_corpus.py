@@ -226,6 +226,14 @@ def test_html_tables_with_implied_rows_and_loose_content():
     assert html_text.extract("<table><tr><td>a<table><td>b<td>c</table>d<td>e</table>").split() == ["a", "e", "b", "c", "d"]
 
 
+def test_html_raw_text_ends_where_its_end_tag_stands():
+    for tag in ("script", "STYLE", "title", "textarea"):
+        inner = "" if tag == "textarea" else "var a=1;"
+        source = "\u0130" * 12 + f"<{tag}>{inner}</{tag.swapcase()}> visible words here <b>more</b>"
+        assert html_text.extract(source) == "\u0130" * 12 + " visible words here more", tag
+    assert html_text.extract("a<script>x</\u017fcript>y</script >b<style>open") == "ab"
+
+
 def test_html_of_pages_keeps_all_visible_text(spark, data):
     import re
 
