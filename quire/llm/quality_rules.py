@@ -2,7 +2,8 @@
 
 Every text gets rule statistics (shares of symbols, capitals, repeated words and lines ...). A forest of random
 splits is grown on a bounded sample of trusted labelled rows; a document that few splits isolate is unlike them.
-The score at which a document goes is calibrated on all labelled rows, through a histogram of fixed width.
+The score at which a document goes is calibrated on all trusted labelled rows, through a histogram of fixed width;
+rows labelled 0 set nothing.
 
 Defined results: null or empty text has no words and fails the base rules; a null doc_id keeps its row; repeated
 rows are judged alike; without labelled rows (or none trusted) the forest rejects nothing; further columns of the
@@ -200,7 +201,7 @@ class Rules:
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 100, tree_rows: int = 256, clean_loss: float = 0.001) -> Rules:
     """Grows the forest on the `sample` trusted labelled rows (quality 1, base rules passed) of least hash, and sets the
-    threshold from all labelled rows: the lowest score at which at most `clean_loss` of the trusted rows go."""
+    threshold from all of them: the lowest score at which at most `clean_loss` of the trusted rows go."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = staged(stats.where(~base_failed()).join(marks, "doc_id"), "rules-known")
     rows = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
