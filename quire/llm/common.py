@@ -24,6 +24,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
+def require_whole(df: DataFrame, column: str) -> None:
+    """Raises unless the id column holds whole numbers."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must be a whole number, not {kind}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or in local mode one of our own."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -49,13 +56,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again: the rounds of a loop would fill the shared folder else."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            for found in [w for w in _written if f"/{w[1].rsplit('/', 1)[1]}/" in file]:
+                _remove(*found)
+                _written.remove(found)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session may have ended before
             continue
 
@@ -181,26 +200,33 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 
-#: Bits of the bitmaps that stand before joins; 2 ** 27 are 16 MB in each Python worker.
-JOIN_BITS = 27
+#: Most bits of the bitmaps that stand before joins; 2 ** 29 are 64 MB in each Python worker.
+JOIN_BITS = 29
+
+
+def bits_for(n: int, most: int = JOIN_BITS) -> int:
+    """Bits of a bitmap for n keys: 16 to 32 a key, up to the bound; beyond it more keys pass that aren't there."""
+    return min(most, max(CHUNK_BITS, (16 * max(n, 1)).bit_length()))
 
 
-def likely(rows: DataFrame, ids: DataFrame, column: str, bits: int = JOIN_BITS) -> DataFrame:
-    """The rows whose `column` is in ids (one column), and a few others: what a join needs not shuffle is left out here."""
-    folder = write_bitmap(ids.toDF("id").select(F.xxhash64("id").alias("key")), bits)
+def likely(rows: DataFrame, ids: DataFrame, columns: list[str | Column], negate: bool = False) -> DataFrame:
+    """The rows whose `columns` are in ids (its columns, in order), and a few others: what a join needs not shuffle is
+    left out here. Negated, the rows that surely aren't in ids. ids should be a staged table, as it is read twice."""
+    bits = bits_for(ids.count())
+    folder = write_bitmap(ids.select(F.xxhash64(*[F.col(c) for c in ids.columns]).alias("key")), bits)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = read_bitmap(folder, bits)
         for batch in batches:
-            keep = in_bitmap(marks, batch.column("__key").to_numpy(zero_copy_only=False))
+            keep = in_bitmap(marks, batch.column("__key").to_numpy(zero_copy_only=False)) ^ negate
             for start in range(0, batch.num_rows, 512):  # small batches: both sides hold one of them at a time
                 some = keep[start : start + 512]
                 if some.any():
                     yield batch.slice(start, 512).filter(pa.array(some)).select(names)
             free_arrow()
 
-    return rows.withColumn("__key", F.xxhash64(column)).mapInArrow(run, rows.schema)
+    return rows.withColumn("__key", F.xxhash64(*columns)).mapInArrow(run, rows.schema)
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WHITESPACE, byte_texts, mix64, slices, staged, with_group
+from quire.llm.common import WHITESPACE, byte_texts, likely, mix64, slices, staged, with_group
 
 SPAN = 16
 MEAN = 4096
@@ -71,20 +71,22 @@ def _normalised(part: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
 
 
 def recipes(docs: DataFrame, mark: Callable[[bytes], bytes] = fingerprint) -> DataFrame:
-    """doc_id, n_points (code points of the original text), text_sha256, recipe (fingerprints in order) for every row."""
+    """doc_id, n_points (code points of the original text), raw_sha256 (of the text as it is), text_sha256 (normalised),
+    recipe (fingerprints in order) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                points, sha, recipe = [], [], []
+                points, whole, sha, recipe = [], [], [], []
                 for raw, text in _normalised(part):
                     points.append(len(raw.decode("utf-8", "replace")))
+                    whole.append(hashlib.sha256(raw).hexdigest())
                     sha.append(hashlib.sha256(text).hexdigest())
                     recipe.append([mark(c) for c in chunks_of(text)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(points, pa.int64()), pa.array(sha, pa.string()), pa.array(recipe, pa.list_(pa.binary()))], names=["doc_id", "n_points", "text_sha256", "recipe"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(points, pa.int64()), pa.array(whole, pa.string()), pa.array(sha, pa.string()), pa.array(recipe, pa.list_(pa.binary()))], names=["doc_id", "n_points", "raw_sha256", "text_sha256", "recipe"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_points long, text_sha256 string, recipe array<binary>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_points long, raw_sha256 string, text_sha256 string, recipe array<binary>")
 
 
 def chunk_contents(docs: DataFrame, mark: Callable[[bytes], bytes] = fingerprint) -> DataFrame:
@@ -127,25 +129,41 @@ def verified(docs: DataFrame, found: DataFrame, mark: Callable[[bytes], bytes] =
     exact = placed.join(ordinals, ["mark", "content"]).groupBy("doc_id", "text_sha256").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("at", "ordinal")))).alias("exact"))
     joined = found.alias("f").join(exact.alias("e"), F.col("f.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("f.text_sha256") == F.col("e.text_sha256")), "left")
     with_ordinal = "transform(recipe, (m, i) -> concat(m, coalesce(cast(cast(element_at(exact, i) as string) as binary), X'')))"
-    return joined.select("f.doc_id", "f.n_points", "f.text_sha256", F.when(F.col("e.exact").isNull(), F.col("f.recipe")).otherwise(F.expr(with_ordinal)).alias("recipe"))
+    return joined.select("f.doc_id", "f.n_points", "f.raw_sha256", "f.text_sha256", F.when(F.col("e.exact").isNull(), F.col("f.recipe")).otherwise(F.expr(with_ordinal)).alias("recipe"))
 
 
-def exact_dedup(docs: DataFrame, mark: Callable[[bytes], bytes] = fingerprint) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs."""
+def judged(docs: DataFrame, mark: Callable[[bytes], bytes]) -> DataFrame:
+    """doc_id, n_points, raw_sha256, text_sha256, keep_id, group_size, kept: one row per row of docs."""
     found = verified(docs, staged(recipes(docs, mark), "recipes"), mark)
     order = F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").alias("id"))
     out = with_group(found, ["recipe"], ["doc_id"], order)
-    return out.select("doc_id", F.col("least.id").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("least.id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "n_points", "raw_sha256", "text_sha256", F.col("least.id").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("least.id")).alias("kept"))
+
+
+def exact_dedup(docs: DataFrame, mark: Callable[[bytes], bytes] = fingerprint) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs."""
+    return judged(docs, mark).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with docs' own columns.
 
-    Rows meet their verdict by doc_id and hash of the normalised text, both computed on the JVM; of repeated rows
-    with the same doc_id and text one is returned.
+    Of kept rows that share a doc_id, the one with the most code points stays, then the one whose text has the least
+    hash; of rows equal in all this, one. All of it is settled on slim rows. Rows that stay and have no twin are passed
+    on where they are; only those to drop, and repeated rows, move, to be held against the verdicts exactly.
     """
-    verdict = exact_dedup(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", ""), 256)
-    rows = docs.withColumn("_sha", sha)
-    joined = rows.alias("r").join(verdict.alias("v"), F.col("r.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("r._sha") == F.col("v.text_sha256")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    rows = staged(judged(docs, fingerprint).select("doc_id", "n_points", "raw_sha256", "text_sha256", "kept"), "exact-verdicts")
+    best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("raw_sha256").alias("raw"))).alias("best")
+    # a doc_id and text occurs once, but for repeated rows: these meet in partial sums before they are shuffled
+    texts = rows.groupBy("doc_id", "text_sha256", "raw_sha256", "n_points", "kept").agg(F.count(F.lit(1)).alias("n"))
+    ids = texts.where("kept").groupBy("doc_id", "text_sha256").agg(best, F.count(F.lit(1)).alias("versions")).where("versions > 1")
+    t, i = texts.alias("t"), ids.alias("i")
+    met = t.join(i, F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("t.text_sha256") == F.col("i.text_sha256")), "left")
+    stays = F.col("t.kept") & (F.col("i.best").isNull() | (F.col("i.best.raw") == F.col("t.raw_sha256")))
+    open_rows = staged(met.select("t.doc_id", "t.raw_sha256", stays.alias("stays"), "t.n").where("NOT stays OR n > 1").select("doc_id", "raw_sha256", "stays"), "exact-open")
+    key = ["doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)]
+    marks = open_rows.select("doc_id", "raw_sha256")
+    sure = likely(docs, marks, key, negate=True)
+    doubtful = likely(docs, marks, key).withColumn("_raw", key[1]).dropDuplicates(["doc_id", "_raw"])
+    joined = doubtful.alias("r").join(open_rows.where("NOT stays").alias("o"), F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("r._raw") == F.col("o.raw_sha256")), "left_anti")
+    return sure.unionByName(joined.select(*[F.col(f"r.`{c}`") for c in docs.columns]))

@@ -4,16 +4,21 @@ Two small collections of `m` hashes, each of two minhashes, are computed for a t
 keys are all m * m pairs of a hash from the one and a hash from the other: as many tables as banding with 4 minhashes a
 band would need, from about the square root of the minhashes. Texts with equal sets are one vertex.
 
-Candidates are verified on full sets. First every vertex against the least vertex of each of its buckets. Then, in
-buckets that still hold several components, the vertices with a partner in another component that sizes and minhashes
-allow (and that no earlier table has brought together) are compared exactly, block by block: a matrix product over the
-shared shingles of a block gives all intersections, and only the edges that join its rows leave the task. Pairs inside
-a component can't change it, so no link between different components is lost, and no pair of a bucket becomes a row.
-m follows from the similarity: a pair just at it is missed with a probability below MISS.
+Candidates are verified on full sets. First every vertex against one vertex of each of its buckets; large buckets that
+still hold several components go through ROUNDS more, with another one each time. Then, in buckets that still do, the vertices with a
+partner in another component that sizes and minhashes allow (and that no earlier table has brought together) are
+compared, block by block: a matrix product over the shared shingles of a block gives all intersections, and only the
+edges that join its rows leave the task. Pairs inside a component can't change it, and no pair of a bucket becomes a row.
+
+What is exact, and what is nearly so: a link is only made on whole sets, whose shingles stand as 64-bit hashes (two of
+n shingles collide with odds of n * n / 2 ** 65). A link can be missed: the tables miss a pair just at the similarity
+with a probability below MISS, from which m follows, and a pair that they find is passed over if its minhashes agree
+less than a pair at the similarity does but with a probability of 1e-6. Pairs above the similarity are missed less.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is kept; with fewer words than a
-shingle the whole sequence is the one shingle; a null doc_id is linked with nothing; rows that share a doc_id count as one
-vertex, and each row says what its own text's class is; further columns are ignored, or returned by `keep_documents`.
+shingle the whole sequence is the one shingle; a null doc_id is linked with nothing; doc_id must be a whole number; rows that
+share a doc_id are one vertex with all their texts, and say the same component (a row without words stands alone if all
+rows of its doc_id have none); further columns are ignored, or returned by `keep_documents`.
 """
 
 from __future__ import annotations
@@ -29,11 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import JOIN_BITS, byte_texts, in_bitmap, likely, mix64, read_bitmap, slices, staged, with_group, write_bitmap
+from quire.llm.common import bits_for, byte_texts, free, in_bitmap, likely, mix64, read_bitmap, require_whole, salt, slices, staged, with_group, write_bitmap
 
 MISS = 1e-4
 #: Rows of a block; a bucket is compared block by block.
 BLOCK = 1000
+#: Rounds, after the first, of comparing all of a bucket of more than LARGE rows with one of its rows; what is left is
+#: compared in blocks, as smaller buckets are at once.
+ROUNDS = 3
+LARGE = 100
+#: Tasks that may share one such row.
+SALTS = 64
 
 
 def tables(similarity: float) -> int:
@@ -125,14 +136,15 @@ def sketches(docs: DataFrame, similarity: float, words: int) -> DataFrame:
 def bucket_keys(nodes: DataFrame, columns: list[str], only: DataFrame | None = None) -> DataFrame:
     """key, pos (the table) and columns of nodes: the tensor of the two collections, one row for each table.
 
-    With `only` (a column of keys), rows whose key a bitmap of fixed size rules out aren't made.
+    With `only` (a staged column of keys), rows whose key a bitmap rules out aren't made.
     """
-    folder = write_bitmap(only.toDF("key"), JOIN_BITS) if only is not None else None
+    bits = bits_for(only.count()) if only is not None else 0
+    folder = write_bitmap(only.toDF("key"), bits) if only is not None else None
     types = dict(nodes.dtypes)
     chosen = [c for c in columns if c not in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = read_bitmap(folder, JOIN_BITS) if folder else None
+        marks = read_bitmap(folder, bits) if folder else None
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
@@ -171,39 +183,53 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union. Only their texts move."""
-    ends = pairs.select("u").union(pairs.select("v"))
-    texts = staged(likely(docs.select(F.col("doc_id").alias("id"), "text"), ends, "id"), "near-texts")
-    rows = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+    """The pairs whose full sets have 100 * intersection >= percent * union. Only their texts move.
+
+    A text u meets its partners in up to SALTS tasks; it goes to each of them once, ahead of the partners dealt there.
+    """
+    salted = pairs.withColumn("salt", salt(["v"], SALTS))
+    ends = staged(pairs.select("u").union(pairs.select("v")).distinct(), "near-ends")
+    texts = staged(likely(docs.select(F.col("doc_id").alias("id"), "text"), ends, ["id"]), "near-texts")
+    leads = salted.select("u", "salt").distinct().join(texts.select(F.col("id").alias("u"), "text"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "text")
+    partners = salted.join(texts.select(F.col("id").alias("v"), "text"), "v").select("u", "salt", "v", "text")
+    rows = leads.union(partners).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        at, firsts = None, []
         for batch in batches:
-            for part in slices(batch, "text_v"):
-                firsts, seconds = byte_texts(part.column("text_u")), shingle_sets(byte_texts(part.column("text_v")), words)
+            for part in slices(batch, "text"):
+                us, vs, salts = (part.column(c).to_pylist() for c in ("u", "v", "salt"))
                 good = []
-                for first, b in zip(firsts, seconds, strict=True):
-                    if held[0] != first:
-                        held = first, shingle_sets([first], words)[0]
-                    both = len(np.intersect1d(held[1], b, assume_unique=True))
-                    union = len(held[1]) + len(b) - both
-                    good.append(union > 0 and 100 * both >= percent * union)
+                for u, v, s, mine in zip(us, vs, salts, shingle_sets(byte_texts(part.column("text")), words), strict=True):
+                    if v is None:
+                        firsts = [*firsts, mine] if at == (u, s) else [mine]
+                        at = u, s
+                    good.append(v is not None and any(enough(first, mine, percent) for first in firsts))
                 yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return union > 0 and 100 * both >= percent * union
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) of every node with a link: least labels of neighbours, then of one's label's label."""
     edges = staged(links.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(links.select("v", "u")), "near-edges")
     state = staged(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("comp")), "near-labels")
+    held = state
     while True:
         near = edges.join(state, edges.src == state.node).groupBy("dst").agg(F.min("comp").alias("near"))
         lower = state.join(near, state.node == near.dst, "left").select("node", F.least("comp", "near").alias("low"), F.col("comp").alias("was"))
         label = state.select(F.col("node").alias("low"), F.col("comp").alias("of_low"))
         new = staged(lower.join(label, "low", "left").select("node", F.least("low", "of_low").alias("comp"), "was"), "near-labels")
-        state = new.select("node", "comp")
+        free(held)
+        held, state = new, new.select("node", "comp")
         if new.where("comp <> was").isEmpty():
+            free(edges)
             return state
 
 
@@ -294,16 +320,28 @@ def joined_rows(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = lower
 
 
-def crossing(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int, words: int) -> DataFrame | None:
-    """Edges (u, v) between components that a bucket's exact comparison joins, at most one for each row of a block."""
+def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return staged(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-members")
+
+
+def mixed_buckets(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, n, lo, hi of the buckets among keys that hold rows of several components."""
+    found = bucket_keys(members, ["comp"], keys).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return staged(found.where("n > 1 AND lo <> hi"), "near-mixed")  # none that isn't in keys: components only grow
+
+
+def stars(members: DataFrame, mixed: DataFrame, round_: int) -> DataFrame:
+    """Pairs (u, v) of each bucket's lead of this round, and its rows of other components."""
+    order = F.struct(F.xxhash64("node", F.lit(round_)), F.col("node"), F.col("comp"))
+    rows = with_group(bucket_keys(members, ["node", "comp"], mixed.select("key")), ["key"], ["node"], order)
+    return rows.where(F.col("comp") != F.col("least.comp")).select(F.col("least.node").alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
+
+
+def crossing(docs: DataFrame, members: DataFrame, mixed: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """Edges (u, v) between components that a bucket's comparison in blocks joins, at most one for each row of a block."""
     similarity = percent / 100
     least = least_shared(similarity, 4 * tables(similarity))
-    members = staged(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-members")
-    large = bucket_keys(members, ["comp"], buckets.where("n > 2").select("key"))
-    mixed = staged(large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 AND lo <> hi").select("key", "n"), "near-mixed")
-    if mixed.isEmpty():
-        return None
-    rows = bucket_keys(members, ["node", "comp", "n_shingles", "a", "b", "sig"], mixed.select("key")).join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = bucket_keys(members, ["node", "comp", "n_shingles", "a", "b", "sig"], mixed.select("key")).join(mixed.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
     block = ("key", "low", "high")
@@ -319,7 +357,7 @@ def crossing(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: Data
     found = staged(near.mapInArrow(find, "key long, low int, high int, node long"), "near-open")
     if found.isEmpty():
         return None
-    texts = likely(docs.select(F.col("doc_id").alias("node"), "text"), found.select("node"), "node")
+    texts = likely(docs.select(F.col("doc_id").alias("node"), "text"), staged(found.select("node").distinct(), "near-ends"), ["node"])
     dealt = found.join(texts, "node").select(*block, "node", "text").repartition(*block).sortWithinPartitions(*block)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,27 +372,41 @@ def crossing(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: Data
 
 def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    require_whole(docs, "doc_id")
     similarity = percent / 100
     found = staged(sketches(docs, similarity, words), "near-sketches")
     usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = staged(with_group(found.where(usable), ["digest"], ["doc_id"], F.col("doc_id")).withColumnRenamed("least", "node").drop("size", "digest"), "near-classes")
-    nodes = staged(classes.where("doc_id = node").drop("doc_id").dropDuplicates(["node"]).select("node", "n_shingles", "a", "b", "sig"), "near-nodes")
-    buckets = staged(bucket_keys(nodes, ["node"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "near-buckets")
-    stars = bucket_keys(nodes, ["node"], buckets.select("key")).join(buckets, "key").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-    tested = staged(plausible(stars, nodes, similarity), "near-stars")
-    links = staged(verified(tested, docs, percent, words), "near-links")
-    labels = components(links)
-    more = crossing(docs, nodes, buckets, labels, percent, words)
-    if more is not None:
-        more = staged(more, "near-crossing")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    classes = staged(with_group(found.where(usable), ["digest"], ["doc_id"], F.col("doc_id")).withColumnRenamed("least", "node").drop("size"), "near-classes")
+    nodes = staged(classes.where("doc_id = node").drop("doc_id").dropDuplicates(["node", "digest"]).select("node", "n_shingles", "a", "b", "sig"), "near-nodes")
+    # texts that share a doc_id belong to one vertex
+    repeated = classes.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
+    links = staged(classes.select("doc_id", "node").join(repeated.select("doc_id", "u"), "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "near-links")
+    buckets = staged(bucket_keys(nodes, ["node"]).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "near-buckets")
+    labels, round_ = components(links), 0
+    while True:
+        members = labelled(nodes, labels)
+        mixed = mixed_buckets(members, buckets)
+        if mixed.isEmpty():
+            break
+        large = mixed.where(F.col("n") > (LARGE if round_ else 1))
+        if round_ > ROUNDS or large.isEmpty():
+            more = crossing(docs, members, mixed, percent, words)
+            if more is not None:
+                labels = components(links.union(staged(more, "near-crossing")))
+            break
+        tested = staged(plausible(stars(members, large, round_), nodes, similarity), "near-stars")
+        links = links.union(staged(verified(tested, docs, percent, words), "near-links"))
+        labels, buckets, round_ = components(links), mixed.select("key"), round_ + 1
     placed = classes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
     alone = found.where(~usable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    whole = placed.select(F.col("doc_id").alias("id"), F.col("component_id").alias("of_id")).where("of_id < id").distinct()
+    alone = alone.join(whole, alone.doc_id == whole.id, "left").select("doc_id", "n_shingles", F.coalesce("of_id", "component_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that `near_dedup` keeps, with docs' own columns."""
-    kept = near_dedup(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*docs.columns)
+    """The rows of docs that `near_dedup` keeps, with docs' own columns: rows surely kept stay where they are, and only
+    texts of ids that may go are moved, to be held against the verdicts."""
+    gone = staged(near_dedup(docs, **options).where("NOT kept").select("doc_id").distinct(), "near-gone")
+    sure, doubtful = likely(docs, gone, ["doc_id"], negate=True), likely(docs, gone, ["doc_id"])
+    return sure.unionByName(doubtful.join(gone, "doc_id", "left_anti").select(*docs.columns))

@@ -232,8 +232,8 @@ def calibration() -> Column:
 def quality_by_perplexity(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept: one row per row of docs."""
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    taught = trusted.where(~calibration())
-    folder = train(likely(docs.select("doc_id", "text"), taught, "doc_id").join(taught, "doc_id", "left_semi"))
+    taught = staged(trusted.where(~calibration()), "lm-taught")
+    folder = train(likely(docs.select("doc_id", "text"), taught, ["doc_id"]).join(taught, "doc_id", "left_semi"))
     if folder is None:
         return docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold")).withColumn("kept", F.col("n_bytes") > 0)
     scored = staged(score(docs, folder), "lm-scores")

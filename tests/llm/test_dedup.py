@@ -223,3 +223,42 @@ def test_suffix_automaton_matches_naive_statistics(seed):
     substrings = {tuple(k[i:j]) for k in known for i in range(len(k)) for j in range(i + 1, len(k) + 1)}
     want = [max((n for n in range(i + 2) if n == 0 or tuple(probe[i + 1 - n : i + 1]) in substrings)) for i in range(len(probe))]
     assert list(automaton.matching(probe)) == want
+
+
+def test_exact_keep_documents_settles_repeated_ids_by_length(spark):
+    rows = [(1, "a b"), (1, "a    b"), (1, "ab"), (2, "ab"), (None, "q"), (None, "q "), (None, "q "), (5, "zz"), (5, "yy"), (6, None), (6, "")]
+    for some in (rows, rows[::-1]):
+        out = exact_dedup.keep_documents(docs_of(spark, some)).collect()
+        assert sorted(((r["doc_id"], r["text"] or "") for r in out), key=str) == sorted([(1, "a    b"), (None, "q "), (5, "zz"), (5, "yy"), (6, "")], key=str)
+
+
+def test_exact_keep_documents_drops_copies(spark):
+    rows = [(i, f"text number {i}") for i in range(200)] + [(1000 + i, "copy") for i in range(50)]
+    out = exact_dedup.keep_documents(docs_of(spark, rows))
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(200), 1000]
+
+
+def test_near_dedup_joins_all_texts_of_a_doc_id(spark):
+    a, b = family(11, 3, 80, (0, 2)), family(12, 3, 80, (0, 2))
+    rows = [(1, a[0]), (2, a[1]), (5, a[2]), (5, b[0]), (7, b[1]), (8, b[2]), (5, None), (9, "x y z")]
+    for some in (rows, rows[::-1]):
+        out = near_dedup.near_dedup(docs_of(spark, some)).collect()
+        assert sorted({(r["doc_id"], r["component_id"]) for r in out}) == [(1, 1), (2, 1), (5, 1), (7, 1), (8, 1), (9, 9)]
+    with pytest.raises(TypeError):
+        near_dedup.near_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize(("block", "large", "rounds"), [(7, 1, 2), (1000, 10**9, 0), (10, 5, 0)])
+def test_near_dedup_does_not_depend_on_block_sizes(spark, monkeypatch, block, large, rounds):
+    for name, value in (("BLOCK", block), ("LARGE", large), ("ROUNDS", rounds)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(100)]
+    chain = []  # each is linked with the next only, so that one lead doesn't join all
+    for i in range(40):
+        base[i] = f"e{rng.randrange(10**6)}"
+        chain.append(" ".join(base))
+    rows = list(enumerate(chain + family(5, 30, 90, (0, 3))))
+    rng.shuffle(rows)
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(docs_of(spark, rows)).collect())
+    assert got == near_brute(rows)
