@@ -3,8 +3,9 @@
 A sequence of tokens is the BPE encoding of its bytes if and only if every two neighbours are compatible: merging
 their joint bytes gives back just the two. So the encodings of all prefixes of a piece can be followed at once. A
 hypothesis is the last token of one prefix's encoding plus the place in the token trie of what was read since; a
-transducer state is the set of live hypotheses. A token is certain once all of them descend from it: none waits longer
-than the longest token of the vocabulary. States and moves are made when first met, and kept.
+transducer state is the set of live hypotheses. A token is certain once all of them descend from it; that is looked for
+every RUN bytes, so none waits longer than RUN bytes and the longest token. States and moves are made when first met, and
+kept. Decoding streams the tokens' bytes through an incremental UTF-8 state machine.
 
 Defined results: null or empty text gives no tokens and the hash of no bytes; any Unicode text round-trips; further
 columns are ignored; rows are independent, so ties and repeated rows need nothing.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -27,8 +29,8 @@ from quire.llm.common import slices
 
 #: Pieces and states that are kept; beyond it, states start anew and pieces lose their older half.
 KEPT = 150_000
-#: Bytes after which a long piece gives out the tokens that are certain.
-RUN = 1024
+#: Bytes after which a piece gives out the tokens that are certain: the lookahead is this and the longest token.
+RUN = 128
 NEVER = 1 << 60
 LOW = (1 << 24) - 1
 
@@ -186,36 +188,59 @@ class Transducer:
         return self.depth
 
 
+#: What a lead byte asks for, as UTF-8 defines it (fixed values): (first, last lead; bytes to come; range of the next one).
+LEADS = [
+    (0x00, 0x7F, 0, 0, 0),
+    (0xC2, 0xDF, 1, 0x80, 0xBF),
+    (0xE0, 0xE0, 2, 0xA0, 0xBF),
+    (0xE1, 0xEC, 2, 0x80, 0xBF),
+    (0xED, 0xED, 2, 0x80, 0x9F),
+    (0xEE, 0xEF, 2, 0x80, 0xBF),
+    (0xF0, 0xF0, 3, 0x90, 0xBF),
+    (0xF1, 0xF3, 3, 0x80, 0xBF),
+    (0xF4, 0xF4, 3, 0x80, 0x8F),
+]
+LEAD_OF = {b: (need, low, high, b & (0xFF, 0x1F, 0x0F, 0x07)[need]) for first, last, need, low, high in LEADS for b in range(first, last + 1)}
+REPLACEMENT = "\ufffd"
+
+
 class Utf8Stream:
-    """Text from bytes that arrive in any pieces; a character cut in two waits for its rest.
+    """Text from bytes that arrive in any pieces: a machine that reads a byte at a time.
 
-    The state is the number of bytes still to come and the range of the next one, as UTF-8 defines them.
+    Its state is the number of bytes still to come, the range that the next one must lie in, and the code point so far.
+    A byte that fits nowhere gives a replacement character, as does a character that breaks off (once, whatever was read).
     """
 
     def __init__(self):
-        self.held = b""
-
-    @staticmethod
-    def _open_tail(data: bytes) -> int:
-        """The bytes at the end that begin a character and don't end it."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b < 0x80:
-                return 0
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                return back if need > back else 0
-        return 0
+        self.need, self.low, self.high, self.point = 0, 0, 0, 0
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        tail = self._open_tail(data)
-        self.held = data[len(data) - tail :]
-        return data[: len(data) - tail].decode("utf-8", "replace")
+        if not self.need and data.isascii():
+            return data.decode("ascii")
+        out = []
+        need, low, high, point = self.need, self.low, self.high, self.point
+        for b in data:
+            if need:
+                if low <= b <= high:
+                    need, low, high, point = need - 1, 0x80, 0xBF, point << 6 | b & 0x3F
+                    if not need:
+                        out.append(chr(point))
+                    continue
+                out.append(REPLACEMENT)
+            lead = LEAD_OF.get(b)
+            if lead is None:
+                need = 0
+                out.append(REPLACEMENT)
+                continue
+            need, low, high, point = lead
+            if not need:
+                out.append(chr(point))
+        self.need, self.low, self.high, self.point = need, low, high, point
+        return "".join(out)
 
     def close(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        broken, self.need = self.need > 0, 0
+        return REPLACEMENT if broken else ""
 
 
 class Codec:
@@ -225,6 +250,8 @@ class Codec:
         self.pieces = regex.compile(pattern)
         self.transducer = Transducer(ranks)
         self.table = [self.transducer.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
+        #: Whole characters, which take the machine from its first state back to it: runs of them are joined at once.
+        self.closed = np.array([_closed(t) for t in self.table], bool)
         encode = self.transducer.encode
 
         class Packed(dict):
@@ -254,15 +281,29 @@ class Codec:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
-    def stream(self, ids: Iterable[int], run: int = 4096) -> Iterator[str]:
-        """Decodes in runs of tokens, with bounded memory."""
-        text, waiting = Utf8Stream(), []
-        for i in ids:
-            waiting.append(i)
-            if len(waiting) == run:
-                yield text.feed(self.decode(waiting))
-                waiting = []
-        yield text.feed(self.decode(waiting)) + text.close()
+    def stream(self, ids: Iterable[int], run: int = 65536) -> Iterator[str]:
+        """Text pieces of runs of tokens, with bounded memory; tokens that cut characters go through the machine."""
+        machine, at = Utf8Stream(), iter(ids)
+        while len(part := np.fromiter(itertools.islice(at, run), np.int64)):
+            yield "".join(self._texts(machine, part))
+        yield machine.close()
+
+    def _texts(self, machine: Utf8Stream, ids: np.ndarray) -> Iterator[str]:
+        start, table = 0, self.table
+        for cut in [*np.flatnonzero(~self.closed[ids]).tolist(), len(ids)]:
+            if machine.need and start < cut:  # broken off: the machine says so, and is in its first state then
+                yield machine.feed(table[ids[start]])
+                start += 1
+            if start < cut:
+                yield b"".join(map(table.__getitem__, ids[start:cut].tolist())).decode("utf-8")
+            if cut < len(ids):
+                yield machine.feed(table[ids[cut]])
+            start = cut + 1
+
+
+def _closed(token: bytes) -> bool:
+    machine = Utf8Stream()
+    return REPLACEMENT not in machine.feed(token) and not machine.need or token == REPLACEMENT.encode()
 
 
 @cache
@@ -286,8 +327,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fa
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(packed).hexdigest())
                     decoded = hashlib.sha256()
-                    for start in range(0, len(ids), 65536):
-                        decoded.update(c.decode(ids[start : start + 65536].tolist()))
+                    for piece in c.stream(ids):
+                        decoded.update(piece.encode("utf-8"))
                     text_sha.append(decoded.hexdigest())
                     if with_ids:
                         lists.append(ids.astype(np.int32))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, salt, staged
+from quire.llm.common import WORD, free, salt, staged
 
 BUCKETS = 64
 #: Sizes that the last fold may change: it holds at most that many entries a source.
@@ -41,7 +41,8 @@ def measured(docs: DataFrame) -> DataFrame:
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """key, source_size, n_docs, target: the weights' shares of share * all sizes, filled up to most * the source's size.
 
-    The windows below have one row for each source.
+    The windows below have one row for each source, in one task: they fit sources that are collections, up to some
+    millions, not ones that grow with the documents.
     """
     sources = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -72,7 +73,7 @@ def solve(cells: DataFrame, goals: DataFrame, most: float, rounds: int = 60, nea
         F.lit(512.0).alias("high"),
         full.alias("done"),
     )
-    state = staged(state, "mix-state")
+    held = state = staged(state, "mix-state")
     exact = lambda c: F.sum(c.cast("decimal(30,6)"))
     for _ in range(rounds):
         if state.where("NOT done").isEmpty():
@@ -95,7 +96,9 @@ def solve(cells: DataFrame, goals: DataFrame, most: float, rounds: int = 60, nea
             F.when(F.col("done"), F.col("lam")).otherwise(moved).alias("lam"),
             "low", "high", (F.col("done") | found | stuck).alias("done"),
         )
-        state = staged(state, "mix-state")
+        last, state = held, staged(state, "mix-state")
+        free(last)
+        held = state
     return state
 
 
@@ -144,11 +147,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' rows, each as often as its copies say. Rows that share a doc_id are told apart by
-    source and length, then by place among alike rows."""
-    same = lambda points: Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_first(), points)
-    plan = mix_sources(docs, **options).select("doc_id", "copies", F.row_number().over(same("n_points")).alias("place"))
-    rows = docs.withColumn("__place", F.row_number().over(same(F.coalesce(F.length("text"), F.lit(-1)))))
+    """The mix itself: docs' rows, each as often as its copies say. Rows that share a doc_id are told apart by source,
+    size and length, then by place among alike rows, which may swap copies without changing any sum."""
+    same = lambda size, points: Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_first(), size, points)
+    plan = mix_sources(docs, **options).select("doc_id", "copies", F.row_number().over(same("size", "n_points")).alias("place"))
+    rows = docs.withColumn("__place", F.row_number().over(same(word_count(), F.coalesce(F.length("text"), F.lit(-1)))))
     joined = rows.alias("r").join(plan.alias("p"), F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("r.__place") == F.col("p.place")))
     copied = joined.where("p.copies > 0").select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int"))).alias("__copy"))
     return copied.drop("__copy")

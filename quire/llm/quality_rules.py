@@ -2,8 +2,8 @@
 
 Every text gets rule statistics (shares of symbols, capitals, repeated words and lines ...). A forest of random
 splits is grown on a bounded sample of trusted labelled rows; a document that few splits isolate is unlike them.
-The score at which a document goes is calibrated on all trusted labelled rows, through a histogram of fixed width;
-rows labelled 0 set nothing.
+The score at which a document goes is calibrated on all labelled rows of both classes, through histograms of fixed
+width. A row of the sample is scored by the trees that were not grown on it, so that the calibration sees it as new.
 
 Defined results: null or empty text has no words and fails the base rules; a null doc_id keeps its row; repeated
 rows are judged alike; without labelled rows (or none trusted) the forest rejects nothing; further columns of the
@@ -28,7 +28,7 @@ DIGITS = bytes(range(48, 58))
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,")
 WINDOW = 5
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_punctuation", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_punctuation", "n_echoes"]
 #: Rows for the forest: the bound on the sample of trusted labelled rows.
 SAMPLE = 8192
 BINS = 2000
@@ -66,6 +66,13 @@ def repeated_words(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bincount(doc[covered], minlength=len(counts)).astype(np.int64)
 
 
+def echoes(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text, its words that equal the word before."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    same = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
+    return np.bincount(doc[1:][same], minlength=len(counts)).astype(np.int64)
+
+
 def counts_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     split = [t.split() for t in texts]
     ids, n = word_ids(split)
@@ -82,7 +89,7 @@ def counts_of(texts: list[bytes]) -> dict[str, np.ndarray]:
         "n_upper": column(lambda t: without(t, LETTERS_UP), texts),
         "n_digits": column(lambda t: without(t, DIGITS), texts),
         "n_punctuation": column(lambda t: without(t, PUNCTUATION), texts),
-        "n_distinct": column(lambda x: len(set(x)), split),
+        "n_echoes": echoes(ids, n),
     }
 
 
@@ -111,6 +118,7 @@ def features(c: dict[str, np.ndarray]) -> np.ndarray:
         c["n_upper"] / chars,
         c["n_digits"] / chars,
         c["n_punctuation"] / chars,
+        c["n_echoes"] / words,
     ])
 
 
@@ -126,7 +134,11 @@ class Forest:
         self.size = max(2, min(size, len(rows)))
         depth = int(np.ceil(np.log2(self.size)))
         spread = rows.max(0) - rows.min(0)
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=len(rows) < self.size)], spread, depth, margin, rng) for _ in range(trees)]
+        self.trees, self.grown_on = [], []
+        for _ in range(trees):
+            some = rng.choice(len(rows), self.size, replace=len(rows) < self.size)
+            self.trees.append(self._grow(rows[some], spread, depth, margin, rng))
+            self.grown_on.append(np.unique(some))
 
     @staticmethod
     def _grow(rows, spread, depth, margin, rng):
@@ -154,22 +166,35 @@ class Forest:
         node(rows, 0, rows.min(0) - pad, rows.max(0) + pad)
         return tuple(np.array(a) for a in (feature, cut, left, right, path))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def paths(self, x: np.ndarray, tree: tuple) -> np.ndarray:
+        feature, cut, left, right, path = tree
+        at = np.zeros(len(x), np.int64)
+        while True:
+            f = feature[at]
+            go = f >= 0
+            if not go.any():
+                return path[at]
+            below = x[np.arange(len(x)), np.maximum(f, 0)] < cut[at]
+            at = np.where(go, np.where(below, left[at], right[at]), at)
+
+    def _anomaly(self, mean_path: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): near 1 for rows that few splits isolate."""
-        total = np.zeros(len(x))
-        for feature, cut, left, right, path in self.trees:
-            at = np.zeros(len(x), np.int64)
-            while True:
-                f = feature[at]
-                go = f >= 0
-                if not go.any():
-                    break
-                below = x[np.arange(len(x)), np.maximum(f, 0)] < cut[at]
-                at = np.where(go, np.where(below, left[at], right[at]), at)
-            total += path[at]
         n = self.size
         expected = 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-        return 2.0 ** (-(total / len(self.trees)) / expected)
+        return 2.0 ** (-mean_path / expected)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self._anomaly(sum(self.paths(x, t) for t in self.trees) / len(self.trees))
+
+    def score_unseen(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of the rows that the forest was given, each by the trees that weren't grown on it (by all, if there are none)."""
+        total, times = np.zeros(len(rows)), np.zeros(len(rows))
+        for tree, grown in zip(self.trees, self.grown_on, strict=True):
+            new = np.ones(len(rows), bool)
+            new[grown] = False
+            total[new] += self.paths(rows[new], tree)
+            times[new] += 1
+        return np.where(times > 0, self._anomaly(total / np.maximum(times, 1)), self.score(rows))
 
 
 def score_column(stats: DataFrame, forest: Forest | None) -> DataFrame:
@@ -199,23 +224,37 @@ class Rules:
         return score_column(stats, self.forest).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(self.threshold)))
 
 
+def threshold_of(clean: np.ndarray, bad: np.ndarray, clean_loss: float) -> int:
+    """The bin from which documents go: the least at which at most `clean_loss` of the clean rows would go, moved to the
+    middle of the bins that send as many bad rows away, so that neither class lies at the edge."""
+    gone = clean[::-1].cumsum()[::-1]
+    least = int(np.argmax(gone <= clean_loss * gone[0]))
+    caught = bad[::-1].cumsum()[::-1]
+    if not caught[least]:
+        return least
+    most = int(np.flatnonzero(caught == caught[least])[-1])
+    return (least + most) // 2
+
+
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 100, tree_rows: int = 256, clean_loss: float = 0.001) -> Rules:
     """Grows the forest on the `sample` trusted labelled rows (quality 1, base rules passed) of least hash, and sets the
-    threshold from all of them: the lowest score at which at most `clean_loss` of the trusted rows go."""
+    threshold from the scores of all labelled rows that pass the base rules, of both classes."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = staged(stats.where(~base_failed()).join(marks, "doc_id"), "rules-known")
-    rows = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rows = known.where("quality = 1").orderBy(*order, *COUNTS).limit(sample).toPandas()
     if len(rows) < 2:
         return Rules(None, 1.0)
-    forest = Forest(features({c: rows[c].to_numpy() for c in COUNTS}), trees, tree_rows)
-    bins = score_column(known, forest).groupBy(F.floor(F.col("anomaly") * BINS).alias("bin"), "quality").count().collect()
-    clean = np.zeros(BINS + 2)
+    x = features({c: rows[c].to_numpy() for c in COUNTS})
+    forest = Forest(x, trees, tree_rows)
+    ids = stats.sparkSession.createDataFrame(rows[["doc_id"]].drop_duplicates(), known.select("doc_id").schema)  # at most `sample`
+    others = known.join(F.broadcast(ids), "doc_id", "left_anti")
+    bins = score_column(others, forest).groupBy(F.floor(F.col("anomaly") * BINS).alias("bin"), "quality").count().collect()
+    clean, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
+    np.add.at(clean, np.floor(forest.score_unseen(x) * BINS).astype(int), 1)
     for r in bins:
-        if r["quality"] == 1:
-            clean[r["bin"]] += r["count"]
-    above = clean[::-1].cumsum()[::-1]
-    least = int(np.argmax(above <= clean_loss * above[0]))
-    return Rules(forest, least / BINS)
+        (clean if r["quality"] == 1 else bad)[r["bin"]] += r["count"]
+    return Rules(forest, threshold_of(clean, bad, clean_loss) / BINS)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -13,7 +13,7 @@ by salted sums. Both ways are exact; no shard holds more than HEAVY contexts.
 
 Shards are shuffled to tasks, not broadcast: a broadcast of all automata would grow with the corpus.
 
-Defined results: null or empty text has no words; a null doc_id is smaller than all others; rows that share a doc_id
+Defined results: null or empty text has no words; a null doc_id is smaller than all others; doc_id must be a whole number, window 2 to LONGEST words; rows that share a doc_id
 and a text have equal starts, so neither is earlier; further columns are ignored.
 """
 
@@ -32,16 +32,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_texts, mix64, slices, staged, staged_path, with_group
-from quire.llm.warc import open_folder
+from quire.llm.common import byte_texts, mix64, open_folder, require_whole, slices, staged, staged_path, with_group
 
+#: Words of an anchor, or fewer in short windows.
 GRAM = 8
+#: Longest window: a context's windows are bits of a 64-bit mask.
+LONGEST = 60
 #: Bits of the bitmap of repeated anchors; 2 ** 26 are 8 MB in each Python worker.
 BITS = 26
 CHUNK = 19
 HEAVY = 512
 
 
+def gram_of(window: int) -> int:
+    """Words of an anchor: a third of the window at least, so that neighbouring windows share anchors."""
+    if not 2 <= window <= LONGEST:
+        raise ValueError(f"window must be 2 to {LONGEST} words, not {window}")
+    return min(GRAM, max(1, window // 2))
+
+
 def word_hashes(split: list[list[bytes]]) -> np.ndarray:
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
@@ -56,13 +65,14 @@ def anchors_of(split: list[list[bytes]], window: int) -> tuple[np.ndarray, np.nd
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, none
-    m = n - GRAM + 1
+    size = gram_of(window)
+    m = n - size + 1
     gram = np.zeros(m, np.uint64)
-    for k in range(GRAM):
+    for k in range(size):
         gram = gram * np.uint64(0x9E3779B97F4A7C15) + word[k : m + k]
     gram = mix64(gram)
     # the leftmost least gram of each window, by doubling
-    value, place, span, need = gram, np.arange(m), 1, window - GRAM + 1
+    value, place, span, need = gram, np.arange(m), 1, window - size + 1
     while span < need:
         step = min(span, need - span)
         a, b = value[: len(value) - step], value[step:]
@@ -255,7 +265,7 @@ def shard_repeats(rows: list[tuple], window: int) -> list[int]:
 def light_repeats(rows: DataFrame, window: int) -> DataFrame:
     """doc_id, row, start, mask of contexts with windows that start earlier; a shard is one anchor's rows."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
     dealt = rows.select("anchor", "doc_id", "row", "start", "n", "words").repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +285,7 @@ def light_repeats(rows: DataFrame, window: int) -> DataFrame:
         found: list[tuple] = []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((id_type, pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "row", "start", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((id_type, pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "row", "start", "mask"])
 
         for group in groups():
             if len(group) > 1:
@@ -285,7 +295,7 @@ def light_repeats(rows: DataFrame, window: int) -> DataFrame:
                 found.clear()
         yield out()
 
-    return dealt.mapInArrow(run, f"doc_id {kind}, row long, start long, mask int")
+    return dealt.mapInArrow(run, f"doc_id {kind}, row long, start long, mask long")
 
 
 def heavy_repeats(rows: DataFrame, window: int) -> DataFrame:
@@ -294,18 +304,20 @@ def heavy_repeats(rows: DataFrame, window: int) -> DataFrame:
     grouped = with_group(rows.select("doc_id", "row", "start", "n", "digest", "words"), ["digest"], ["doc_id", "start"], place)
     first = F.col("doc_id").eqNullSafe(F.col("least.doc")) & (F.col("start") == F.col("least.at"))
     grouped = staged(grouped.withColumn("first", first).withColumn("words", F.when(first, F.col("words"))).drop("least", "size"), "substring-heavy")
-    later = grouped.where("NOT first").select("doc_id", "row", "start", F.expr("cast(shiftleft(1, n) - 1 as int)").alias("mask"))
+    later = grouped.where("NOT first").select("doc_id", "row", "start", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     word = F.split(F.decode("words", "utf-8"), " ")
     windows = grouped.where("first").select("doc_id", "row", "start", word.alias("words"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     windows = windows.select("doc_id", "row", "start", "k", F.concat_ws(" ", F.slice("words", F.col("k") + 1, window)).alias("text"), (F.col("start") + F.col("k")).alias("begin"))
     met = with_group(windows, ["text"], ["doc_id", "begin"], F.struct(F.col("doc_id").alias("doc"), F.col("begin").alias("at")))
     earlier = met.where(~(F.col("doc_id").eqNullSafe(F.col("least.doc")) & (F.col("begin") == F.col("least.at"))))
-    some = earlier.groupBy("doc_id", "row", "start").agg(F.expr("cast(bit_or(shiftleft(1, k)) as int)").alias("mask"))
+    some = earlier.groupBy("doc_id", "row", "start").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
     return later.unionByName(some)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for): one row per row of docs."""
+    gram_of(window)
+    require_whole(docs, "doc_id")
     marks_in = mark_repeated(anchor_counts(docs, window))
     found = staged(contexts(docs, marks_in, window), "substring-contexts")
     removed = light_repeats(found.where("NOT heavy"), window).unionByName(heavy_repeats(found.where("heavy"), window))

@@ -8,10 +8,11 @@ only rows of tasks that succeeded reach the index, so files of lost attempts are
 Index: rows are sorted by reversed-host URL key and page_id into range partitions. Each partition is a file of
 gzip blocks of `BLOCK` lines followed by its sparse directory (first key, offset, length of each block) and a trailer; the
 top level is one first key a file. A look-up searches the top level, one file's directory and one block by bisection,
-and then reads one byte range of the archive.
+and then reads one byte range of the archive. All captures of a URL, a host or a domain are ranges of the sort order.
+The number of files follows the rows, PART to a file, so that no task's share and no directory grows with the crawl.
 
 Defined results: a null html is an empty payload; a null url has the key ")"; rows that share a page_id and a payload
-are all responses if that page_id is the smallest; a null page_id sorts before all others; further columns are ignored.
+are all responses if that page_id is the smallest; a null page_id sorts before all others; page_id must be a whole number; further columns are ignored.
 Files are opened through pyarrow.fs, so the shared folder may be any file system that it knows.
 """
 
@@ -30,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import open_folder, slices, staged, staged_path, with_group
+from quire.llm.common import open_folder, require_whole, slices, staged, staged_path, with_group
 
 BLOCK = 512
+#: Captures of an index file, and of a task that looks captures up.
+PART = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 LINES = "key string, page_id long, file string, offset long, length long"
@@ -136,11 +139,16 @@ def sort_key(key: str, page_id: int | None) -> str:
     return f"{key}\x01" + ("" if page_id is None else f"{page_id + (1 << 63):020d}")
 
 
-def write_index(lines: DataFrame, folder: str, parts: int = 12) -> list[tuple[str, str]]:
+def parts_for(rows: int) -> int:
+    return max(1, -(-rows // PART))
+
+
+def write_index(lines: DataFrame, folder: str, parts: int | None = None) -> list[tuple[str, str]]:
     """Writes the sorted, blocked index; the top level: (first sort key, file) of each range partition, in order.
 
-    The top level has at most `parts` entries, however many captures there are.
+    The top level has one entry for PART captures, unless `parts` says otherwise: 25 MB for 2.5 billion captures.
     """
+    parts = parts or parts_for(lines.count())
     order = F.concat("key", F.lit("\x01"), F.coalesce(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit("")))
     ordered = lines.select(order.alias("sort"), "file", "offset", "length").repartitionByRange(parts, "sort").sortWithinPartitions("sort")
 
@@ -229,11 +237,46 @@ class CaptureIndex:
             self.block_at, self.block = (p, b), (rows, [r[0] for r in rows])
         return self.block
 
+    def between(self, low: str, high: str) -> Iterator[list]:
+        """The index lines with low <= sort key < high, in order; one block is held at a time."""
+        p = max(0, bisect.bisect_left(self.firsts, low) - 1)
+        while p < len(self.firsts) and self.firsts[p] < high:
+            if self.part != p:
+                self._load(p)
+            b = max(0, bisect.bisect_left(self.block_firsts, low) - 1)
+            while b < len(self.directory) and self.block_firsts[b] < high:
+                rows, keys = self._block(p, b)
+                yield from rows[bisect.bisect_left(keys, low) : bisect.bisect_left(keys, high)]
+                if self.part != p:  # another look-up came in between
+                    self._load(p)
+                b += 1
+            p += 1
+
+    def _read(self, ranges: list[tuple[str, str]]) -> Iterator[dict]:
+        for low, high in ranges:
+            for _, name, offset, length in self.between(low, high):
+                yield parse_record(gunzip_member(self._range(name, offset, length)))
+
+    def of_url(self, url: str | None) -> Iterator[dict]:
+        """All captures of a URL, by page_id."""
+        key = url_key(url)
+        return self._read([(f"{key}\x01", f"{key}\x02")])
+
+    def of_host(self, host: str) -> Iterator[dict]:
+        """All captures of a host, on any port."""
+        key = url_key(f"http://{host}").split(")")[0]
+        return self._read([(f"{key})", f"{key}*"), (f"{key}:", f"{key};")])
+
+    def of_domain(self, domain: str) -> Iterator[dict]:
+        """All captures of a domain and of the hosts below it."""
+        key = url_key(f"http://{domain}").split(")")[0]
+        return self._read([(f"{key})", f"{key}*"), (f"{key},", f"{key}-"), (f"{key}:", f"{key};")])
+
     def captures(self, url: str | None, page_id: int | None) -> list[dict]:
         return [parse_record(gunzip_member(self._range(name, offset, length))) for _, name, offset, length in self.lines(sort_key(url_key(url), page_id))]
 
 
-def look_up(wanted: DataFrame, folder: str, top: list[tuple[str, str]], parts: int = 12, with_payload: bool = False) -> DataFrame:
+def look_up(wanted: DataFrame, folder: str, top: list[tuple[str, str]], parts: int | None = None, with_payload: bool = False) -> DataFrame:
     """The captures of each row (page_id, url) of wanted, read from the archives: sorted look-ups by range."""
     columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     names = [c.split()[0] for c in columns.split(", ")]
@@ -250,6 +293,7 @@ def look_up(wanted: DataFrame, folder: str, top: list[tuple[str, str]], parts: i
                         rows.append((page_number(h["warc-record-id"]), c["payload_bytes"], c["payload_digest"], h["warc-type"], page_number(h["warc-refers-to"]) if "warc-refers-to" in h else None, c["payload"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
+    parts = parts or parts_for(wanted.count())
     host = F.split(F.coalesce("url", F.lit("")), "/")
     near = F.concat_ws(",", F.reverse(F.split(F.regexp_replace(F.coalesce(F.get(host, F.lit(2)), F.lit("")), "^www\\.", ""), "\\.")))
     keyed = wanted.select("page_id", "url", near.alias("near"))
@@ -257,11 +301,13 @@ def look_up(wanted: DataFrame, folder: str, top: list[tuple[str, str]], parts: i
     return ordered.select("page_id", "url").mapInArrow(run, columns)
 
 
-def round_trip(pages: DataFrame, least: int = 0, parts: int = 12) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 0, parts: int | None = None) -> DataFrame:
     """Writes pages as archives with their index, then reads every page's record back through the index."""
+    require_whole(pages, "page_id")
     spark = pages.sparkSession
     folder = staged_path(spark, "warc")
     lines = write_archives(pages, folder, least)
     top = write_index(lines, folder, parts)
     # each (url, page_id) once: a look-up returns all its records
+    parts = parts or parts_for(lines.count())
     return look_up(pages.select("page_id", "url").distinct(), folder, top, parts)

@@ -77,6 +77,36 @@ def test_mixing_copies_rows(spark):
     assert mixing.mix_sources(null_id).collect()[0]["taken"] in (2, 4)
 
 
+def test_mixing_sizes_and_targets_equal_sql(spark, data):
+    import duckdb
+
+    sql = f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM '{data}/documents.parquet'),
+        s AS (SELECT source, sum(size) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+        fill(k, taken, open_weight, level) AS (
+            SELECT 0, 0.0, sum(weight)::DOUBLE, 1.5 * sum(source_size) / sum(weight) FROM s
+            UNION ALL
+            SELECT k + 1, n.taken, n.open_weight, (n.total - n.taken) / n.open_weight FROM fill, LATERAL (
+                SELECT coalesce(sum(2.0 * source_size) FILTER (2 * source_size <= weight * level), 0)::DOUBLE AS taken,
+                coalesce(sum(weight) FILTER (2 * source_size > weight * level), 0)::DOUBLE AS open_weight, (1.5 * sum(source_size))::DOUBLE AS total FROM s) n
+            WHERE k < 20 AND n.open_weight > 0)
+        SELECT doc_id, size, source_size, CASE WHEN 2 * source_size <= weight * level THEN 2 * source_size ELSE weight * level END
+        FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, (SELECT level FROM fill ORDER BY k DESC LIMIT 1)
+    """
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r["doc_id"]: (r["size"], r["source_size"], r["target"]) for r in mixing.mix_sources(table(spark, data, "documents")).collect()}
+    assert got.keys() == want.keys()
+    for i, (size, whole, target) in want.items():
+        assert got[i][:2] == (size, whole) and abs(got[i][2] - target) < 1e-6 * max(1, target)
+
+
+def test_mixing_tells_rows_of_one_id_apart_by_size(spark):
+    rows = [(1, "aaa b " * 30, "en", "s", 0), (1, "a  a  " * 30, "en", "s", 0), (1, "aaaaaa" * 30, "en", "s", 0)] + [(i, "w " * (i % 7), "en", "s", 0) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sum(r["taken"] for r in mixing.mix_sources(docs).collect())
+    assert sum(len(r["text"].split()) for r in mixing.mix_documents(docs).collect()) == want
+
+
 def test_mixing_plan_is_native(spark):
     docs = mixed_docs(spark)
     plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
@@ -130,6 +160,19 @@ def test_warc_files_and_index(spark, monkeypatch):
         found = index.captures(rows[i][1], i)
         assert [c["payload"] for c in found] == [rows[i][2].encode()]
     assert index.captures("http://nowhere/", 3) == [] and index.captures(rows[0][1], 999) == []
+    same = [r for r in rows if r[1] == rows[600][1]]
+    assert [c["payload"] for c in index.of_url(rows[600][1])] == [r[2].encode() for r in same]
+    assert sorted(c["payload"] for c in index.of_host("h1.com")) == sorted(r[2].encode() for r in rows if "h1.com" in r[1])
+    assert len(list(index.of_domain("com"))) == 1500 and not list(index.of_domain("om")) and not list(index.of_host("h9.com"))
+
+
+def test_warc_files_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART", 7)
+    rows = page_rows()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str) == warc_brute(rows)
+    monkeypatch.setattr(warc, "PART", 10**9)
+    assert sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str) == warc_brute(rows)
 
 
 def test_url_keys_sort_by_domain():
@@ -173,15 +216,21 @@ def test_transducer_emits_long_pieces_in_runs():
     assert list(CODEC.transducer.emit(piece)) == REAL.encode_ordinary(piece.decode())
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.binary(max_size=30), st.lists(st.integers(1, 5), max_size=30))
-def test_utf8_stream_equals_whole_decoding_of_text(data, cuts):
-    data = data.decode("utf-8", "replace").encode()
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.binary(max_size=30), st.text(max_size=20).map(str.encode), st.lists(st.sampled_from(b"\xe2\x82\xac\xf0\x9f\x98\x80\xed\xa0\xc3\xa9a\xf4\x90\xc0\xff"), max_size=20).map(bytes)), st.lists(st.integers(1, 5), max_size=30))
+def test_utf8_stream_equals_whole_decoding(data, cuts):
     stream, at, out = bpe.Utf8Stream(), 0, ""
     for n in [*cuts, len(data) + 1]:
         out += stream.feed(data[at : at + n])
         at += n
-    assert out + stream.close() == data.decode()
+    assert out + stream.close() == data.decode("utf-8", "replace")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 50_000), max_size=40), st.integers(1, 7))
+def test_stream_of_any_tokens_equals_whole_decoding(ids, run):
+    ids = [i for i in ids if i in CODEC.transducer.bytes_of]
+    assert "".join(CODEC.stream(ids, run)) == CODEC.decode(ids).decode("utf-8", "replace")
 
 
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><script>var x="</p>";</script>

@@ -262,3 +262,20 @@ def test_near_dedup_does_not_depend_on_block_sizes(spark, monkeypatch, block, la
     rng.shuffle(rows)
     got = sorted(tuple(r) for r in near_dedup.near_dedup(docs_of(spark, rows)).collect())
     assert got == near_brute(rows)
+
+
+@pytest.mark.parametrize(("window", "heavy"), [(2, 512), (6, 1), (6, 10**9), (50, 512), (60, 2)])
+def test_substring_dedup_of_any_window_and_shard_bound(spark, monkeypatch, window, heavy):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    rng = random.Random(window)
+    shared = [" ".join(f"p{rng.randrange(300)}" for _ in range(n)) for n in (window - 1, window, window + 1, 150)]
+    texts = passages(1, 25, shared) + ["x y " * 60, "z " * 100, None] + [" ".join(rng.choice("ab") for _ in range(200)) for _ in range(3)]
+    rows = list(enumerate(texts))
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(docs_of(spark, rows), window).collect()), key=str)
+    assert got == substring_brute(rows, window)
+
+
+@pytest.mark.parametrize("window", [1, 61])
+def test_substring_dedup_refuses_other_windows(spark, window):
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(docs_of(spark, [(1, "a")]), window)
