@@ -30,7 +30,7 @@ def brute_counts(text):
         if re.search(r"[^\x20\x09-\x0D]", line):
             dups += line in seen
             seen.add(line)
-    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dups, "n_repeat_words": len(covered)}
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dups, "n_repeat_words": len(covered), "n_echoes": sum(a == b for a, b in zip(words, words[1:]))}
 
 
 ODD = [None, "", " \n\t", "a", "a b c d e a b c d e", "x " * 40, "é ü ß y # * <b>", "l1 a\nl1 a\n\n\n l1 a\nl1 a", "\x0b\x0cw\r\nw\r\nw", "w" * 5000, " ".join(map(str, range(3000)))]
@@ -59,7 +59,39 @@ def test_quality_rules_reject_junk_and_keep_clean_rows(spark, data):
         assert r["base_failed"] == failed and not (failed and r["kept"])
     marked = {r["doc_id"]: r["quality"] for r in labels.collect()}
     verdict = {q: [r["kept"] for r in out.collect() if marked.get(r["doc_id"]) == q and not r["base_failed"]] for q in (0, 1)}
-    assert np.mean(verdict[1]) > 0.97
+    assert np.mean(verdict[1]) > 0.97 and np.mean(verdict[0]) < 0.1 and len(verdict[0]) > 0
+
+
+def test_forest_equals_a_walk_of_its_trees_and_unseen_scores_leave_own_trees_out():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(60, 4))
+    forest = quality_rules.Forest(rows, trees=12, size=16)
+
+    def walk(x, tree):
+        feature, cut, left, right, path = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] < cut[at] else right[at]
+        return path[at]
+
+    expected = 2 * (math.log(15) + 0.5772156649) - 2 * 15 / 16
+    got, unseen = forest.score(rows), forest.score_unseen(rows)
+    for i, x in enumerate(rows):
+        assert got[i] == pytest.approx(2 ** (-np.mean([walk(x, t) for t in forest.trees]) / expected))
+        own = [walk(x, t) for t, grown in zip(forest.trees, forest.grown_on, strict=True) if i not in grown]
+        assert unseen[i] == pytest.approx(2 ** (-np.mean(own) / expected))
+    assert forest.score(rows.max(0, keepdims=True) + 50)[0] > got.max()
+
+
+def test_threshold_uses_both_classes():
+    clean, bad = np.zeros(102), np.zeros(102)
+    clean[10:40] = 100
+    bad[60:90] = 5
+    at = quality_rules.threshold_of(clean, bad, 0.001)
+    assert 40 <= at <= 60 and abs(at - 50) <= 1
+    assert quality_rules.threshold_of(clean, bad * 0, 0.001) == 40
+    clean[70] = 1
+    assert quality_rules.threshold_of(clean, bad, 0.001) <= 60
 
 
 def test_quality_rules_edges(spark):
@@ -75,18 +107,49 @@ def test_quality_rules_edges(spark):
     assert quality_rules.quality_rules(null_id, labels).collect()[0]["base_failed"]
 
 
-def test_toxicity_held_out_accuracy_and_misspellings(spark):
-    sf = "/root/testdata/sf0.01"
+def test_toxicity_held_out_recall_and_precision(spark):
+    sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     model = toxicity.fit(docs, labels)
-    out = {r["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
-    assert len(out) == docs.count()
-    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    held = [(out[i]["predicted"], t) for i, t in marks.items() if out[i]["held_out"]]
-    assert sum(p == t for p, t in held) / len(held) > 0.85
-    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out.values())
-    top = max((w for t in [r["text"] for r in docs.collect()] for w in toxicity.words_of(t.encode())), key=model.word)
-    assert model.word(top + b"s") > model.word(b"the")
+    held = docs.join(labels.where("toxic IS NOT NULL").where(toxicity.held_out()), "doc_id")
+    marks = {r["doc_id"]: r["toxic"] for r in held.collect()}
+    out = {r["doc_id"]: r for r in toxicity.score_documents(held.drop("toxic"), model).collect()}
+    assert all(r["held_out"] and r["predicted"] == int(r["score"] >= 0.5) for r in out.values())
+    caught = sum(out[i]["predicted"] for i, t in marks.items() if t)
+    alarms = sum(out[i]["predicted"] for i, t in marks.items() if not t)
+    assert caught / sum(marks.values()) > 0.85 and caught / (caught + alarms) > 0.85
+    top = sorted({w for r in held.where("toxic = 1").collect() for w in toxicity.words_of(r["text"].encode())}, key=model.word)[-20:]
+    common = float(np.median([model.word(w) for r in held.where("toxic = 0").limit(50).collect() for w in toxicity.words_of(r["text"].encode())]))
+    for w in (w for w in top if len(w) > 6):
+        for unseen in (w + b"s", w[:3] + w[4:], w[:2] + b"x" + w[2:]):
+            assert model.word(unseen) > common
+
+
+def test_toxicity_scores_equal_the_definition():
+    rng = np.random.default_rng(4)
+    for passage in (1, 2, 3, None):
+        model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), -0.7, passage)
+        for text in ("", "one", "Two words", "a bb ccc dddd eeeee!", "x" * 100 + " y"):
+            words = [float(np.mean([model.gram_score[g] for g in toxicity.grams(w)])) for w in toxicity.words_of(text.encode())]
+            n = min(passage or len(words), len(words))
+            best = max((sum(words[i : i + n]) / n for i in range(len(words) - n + 1)), default=0.0) if n else 0.0
+            assert model.score(text.encode()) == pytest.approx(1 / (1 + math.exp(-(best - 0.7))))
+
+
+def test_toxicity_training_separates_marked_words_and_bounds_its_sample(spark):
+    rng = random.Random(3)
+    words = [f"plain{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) + (" vilewort" if i % 4 == 0 else "") for i in range(160)]
+    marks = np.array([int(i % 4 == 0) for i in range(160)])
+    for passage in (2, None):
+        model = toxicity.train([t.encode() for t in texts], marks, epochs=20, passage=passage)
+        assert model.word(b"vilewort") > max(map(model.word, map(str.encode, words)))
+        assert model.word(b"vilewortt") > model.word(b"plain7")
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(m)) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs, labels, sample_bytes=0).bias == -500.0
+    again = [toxicity.fit(docs.repartition(n), labels, sample=20).gram_score for n in (1, 5)]
+    assert (again[0] == again[1]).all()
 
 
 def test_toxicity_edges(spark):
