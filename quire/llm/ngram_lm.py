@@ -2,9 +2,10 @@
 
 Six bytes fit a 64-bit key exactly, so that counting, continuation counts and the interpolation are joins and
 aggregations of slim rows, sharded by key; a context has at most 256 successors, so no key is hot. Every trusted
-labelled row that isn't held out is counted, whole. Scoring streams the sorted shards of the finished model past each
-run of documents and joins them to its distinct n-grams; a model that fits MODEL_ROWS stays in memory, a larger one is
-read shard by shard for every run. Documents are never shuffled to be scored.
+labelled row that isn't held out is counted, whole. Scoring merges the distinct n-grams of each run of documents (RUN bytes
+of text) with the sorted shards of the finished model, one after the other; a worker keeps the first HELD rows of the model
+from run to run and reads the other shards again. Documents are never shuffled to be scored: the README has the figures of
+the join by (document, n-gram) that this stands in for.
 
 A language's threshold is a quantile of the perplexities of its trusted rows that were held out from training; where a
 language has none, that of all of them.
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import byte_texts, free_arrow, likely, open_folder, slices, staged, staged_path
 
 ORDER = 6
-RUN = 1 << 20
-SHARDS = 12
-#: Model rows that a Python worker keeps in memory; 13 bytes each.
-MODEL_ROWS = 5_000_000
+#: Bytes of text that are looked up in the model together, and that are keyed at once.
+RUN = 16 << 20
+PIECE = 1 << 20
+#: Model rows of a shard, and those that a Python worker keeps from run to run; 13 bytes each.
+SHARD = 250_000
+HELD = 4_000_000
 
 
 def keys_of(piece: np.ndarray) -> np.ndarray:
@@ -45,15 +48,15 @@ def keys_of(piece: np.ndarray) -> np.ndarray:
 
 
 def pieces_of(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarray]]:
-    """(row, number of its bytes, ...) and all keys, for runs of about RUN bytes; a long text is cut, its context kept."""
+    """(row, number of its bytes, ...) and all keys, for pieces of about PIECE bytes; a long text is cut, its context kept."""
     rows, sizes, keys, total = [], [], [], 0
     for i, t in enumerate(texts):
         padded = b"\0" * (ORDER - 1) + t
-        for start in range(0, len(t), RUN):
-            piece = np.frombuffer(padded[start : start + RUN + ORDER - 1], np.uint8).astype(np.int64)
+        for start in range(0, len(t), PIECE):
+            piece = np.frombuffer(padded[start : start + PIECE + ORDER - 1], np.uint8).astype(np.int64)
             rows.append(i), sizes.append(len(piece) - ORDER + 1), keys.append(keys_of(piece))
             total += sizes[-1]
-            if total >= RUN:
+            if total >= PIECE:
                 yield rows, sizes, np.concatenate(keys)
                 rows, sizes, keys, total = [], [], [], 0
     if rows:
@@ -71,7 +74,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[start : start + (1 << 17)]), pa.array(times[start : start + (1 << 17)])], names=["key", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text", RUN):
+            for part in slices(batch, "text", PIECE):
                 for _, _, found in pieces_of(byte_texts(part.column("text"))):
                     k, n = np.unique(found, return_counts=True)
                     both = np.concatenate([keys, k])
@@ -131,19 +134,31 @@ def train(docs: DataFrame) -> str | None:
     for part in parts[1:]:
         model = model.unionByName(part)
     folder = staged_path(spark, "lm-model")
-    model.select(F.col("level").cast("int"), "key", F.col("value").cast("float")).repartitionByRange(SHARDS, "level", "key").sortWithinPartitions("level", "key").write.parquet(folder)
+    shards = -(-sum(part.count() for part in parts) // SHARD)
+    model.select(F.col("level").cast("int"), "key", F.col("value").cast("float")).repartitionByRange(shards, "level", "key").sortWithinPartitions("level", "key").write.parquet(folder)
     return folder
 
 
 class Shards:
     """Look-ups of sorted keys in the model's sorted shards."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, held: int = HELD):
         self.files, base = open_folder(folder)
-        selector = [i for i in self.files.get_file_info(pa.fs.FileSelector(base)) if i.path.endswith(".parquet")]
-        self.paths = sorted(i.path for i in selector)
-        rows = sum(pq.ParquetFile(self.files.open_input_file(p)).metadata.num_rows for p in self.paths)
-        self.held = [self._load(p) for p in self.paths] if rows <= MODEL_ROWS else None
+        self.paths = sorted(i.path for i in self.files.get_file_info(pa.fs.FileSelector(base)) if i.path.endswith(".parquet"))
+        self.room, self.held = held, []
+
+    def shards(self) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """All shards in order: from memory as far as they are held, then from their files."""
+        yield from self.held
+        for path in self.paths[len(self.held) :]:
+            shard = self._load(path)
+            rows = sum(len(keys) for _, keys, _ in shard)
+            if self.room >= rows:
+                self.room -= rows
+                self.held.append(shard)
+            else:
+                self.room = 0  # what is held is a prefix of the shards
+            yield shard
 
     def _load(self, path: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
         with self.files.open_input_file(path) as f:
@@ -155,7 +170,7 @@ class Shards:
     def find(self, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         """For each level's sorted keys, their values; NaN where the model has none. Each shard is visited once."""
         out = {level: np.full(len(q), np.nan) for level, q in wanted.items()}
-        for shard in self.held if self.held is not None else map(self._load, self.paths):
+        for shard in self.shards():
             for level, keys, values in shard:
                 q = wanted.get(level)
                 if q is None:
@@ -171,8 +186,8 @@ class Shards:
 
 
 @lru_cache(maxsize=1)
-def shards(folder: str) -> Shards:
-    return Shards(folder)
+def shards(folder: str, held: int) -> Shards:
+    return Shards(folder, held)
 
 
 def log_probabilities(model: Shards, keys: np.ndarray) -> np.ndarray:
@@ -203,19 +218,22 @@ def log_probabilities(model: Shards, keys: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, folder: str) -> DataFrame:
     """docs' doc_id and lang, n_bytes and perplexity of every row."""
     types = dict(docs.dtypes)
+    held, bytes_of_run = HELD, RUN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shards(folder)
+        model = shards(folder, held)
         for batch in batches:
-            for part in slices(batch, "text", RUN):
+            for part in slices(batch, "text", bytes_of_run):
                 texts = byte_texts(part.column("text"))
                 total = np.zeros(len(texts))
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
+                distinct = np.zeros(0, np.int64)
+                for _, _, keys in pieces_of(texts):
+                    distinct = np.union1d(distinct, keys)
+                logs = log_probabilities(model, distinct)
                 for rows, sizes, keys in pieces_of(texts):
-                    distinct, inverse = np.unique(keys, return_inverse=True)
-                    logs = log_probabilities(model, distinct)[inverse]
                     ends = np.cumsum(sizes)
-                    np.add.at(total, rows, np.add.reduceat(logs, ends - sizes))
+                    np.add.at(total, rows, np.add.reduceat(logs[np.searchsorted(distinct, keys)], ends - sizes))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     perplexity = np.exp(-total / size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(size), pa.array(perplexity, mask=size == 0)], names=["doc_id", "lang", "n_bytes", "perplexity"])

@@ -249,10 +249,46 @@ def test_language_model_edges(spark):
 def test_long_text_is_scored_in_pieces_with_context():
     text = bytes(random.Random(2).randrange(97, 101) for _ in range(5000))
     whole = np.concatenate([k for _, _, k in ngram_lm.pieces_of([text])])
-    old = ngram_lm.RUN
+    old = ngram_lm.PIECE
     try:
-        ngram_lm.RUN = 700
+        ngram_lm.PIECE = 700
         parts = [k for _, _, k in ngram_lm.pieces_of([text])]
     finally:
-        ngram_lm.RUN = old
+        ngram_lm.PIECE = old
     assert len(parts) > 5 and (np.concatenate(parts) == whole).all()
+
+
+def test_language_model_does_not_depend_on_what_workers_hold(spark, monkeypatch):
+    texts = random_texts(6, 40, 9)
+    docs = docs_of(spark, texts)
+    seen = set()
+    for shard, held, run in ((50, 0, 1), (50, 120, 200), (10**6, 10**9, 1 << 30)):
+        for name, value in (("SHARD", shard), ("HELD", held), ("RUN", run)):
+            monkeypatch.setattr(ngram_lm, name, value)
+        folder = ngram_lm.train(docs.where("doc_id < 25"))
+        rows = ngram_lm.score(docs, folder).orderBy("doc_id").collect()
+        seen.add(tuple(r["perplexity"] and round(r["perplexity"], 5) for r in rows))
+    assert len(seen) == 1
+
+
+def test_language_thresholds_are_quantiles_of_each_language(spark):
+    rng = random.Random(9)
+    words = {"en": ["the", "cat", "sat"], "de": ["der", "hund", "lag"], None: ["x1", "y2", "z3"]}
+    rows = []
+    for lang, known in words.items():
+        for _ in range(60):
+            rows.append((len(rows), " ".join(rng.choice(known) for _ in range(rng.randrange(20, 40))), lang, "s", 0))
+    rows.append((len(rows), "qqq \u00df\u00df zzz kkk " * 5, "en", "s", 0))
+    rows.append((len(rows), "the cat sat the cat", "fr", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(180)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in ngram_lm.quality_by_perplexity(docs, labels, 0.9).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    by_lang = {lang: sorted(out[i]["perplexity"] for i, r in enumerate(rows[:180]) if r[2] == lang and held(i)) for lang in words}
+    for lang, found in by_lang.items():
+        want = found[max(0, math.ceil(0.9 * len(found)) - 1)]
+        got = {r["threshold"] for r in out.values() if r["lang"] == lang}
+        assert len(got) == 1 and got.pop() == pytest.approx(want)
+    everyone = sorted(x for found in by_lang.values() for x in found)
+    assert out[181]["threshold"] == pytest.approx(everyone[math.ceil(0.9 * len(everyone)) - 1])
+    assert not out[180]["kept"] and all(r["kept"] == (r["perplexity"] <= r["threshold"]) for r in out.values())
