@@ -41,8 +41,8 @@ MISS = 1e-4
 BLOCK = 1000
 #: Rounds, after the first, of comparing all of a bucket of more than LARGE rows with one of its rows; what is left is
 #: compared in blocks, as smaller buckets are at once.
-ROUNDS = 3
-LARGE = 100
+ROUNDS = 1
+LARGE = 1000
 #: Tasks that may share one such row.
 SALTS = 64
 
@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Dat
     A text u meets its partners in up to SALTS tasks; it goes to each of them once, ahead of the partners dealt there.
     """
     salted = pairs.withColumn("salt", salt(["v"], SALTS))
-    ends = staged(pairs.select("u").union(pairs.select("v")).distinct(), "near-ends")
+    ends = pairs.select("u").union(pairs.select("v"))
     texts = staged(likely(docs.select(F.col("doc_id").alias("id"), "text"), ends, ["id"]), "near-texts")
     leads = salted.select("u", "salt").distinct().join(texts.select(F.col("id").alias("u"), "text"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "text")
     partners = salted.join(texts.select(F.col("id").alias("v"), "text"), "v").select("u", "salt", "v", "text")
@@ -341,6 +341,8 @@ def crossing(docs: DataFrame, members: DataFrame, mixed: DataFrame, percent: int
     """Edges (u, v) between components that a bucket's comparison in blocks joins, at most one for each row of a block."""
     similarity = percent / 100
     least = least_shared(similarity, 4 * tables(similarity))
+    if mixed.isEmpty():
+        return None
     rows = bucket_keys(members, ["node", "comp", "n_shingles", "a", "b", "sig"], mixed.select("key")).join(mixed.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
@@ -378,17 +380,17 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = staged(with_group(found.where(usable), ["digest"], ["doc_id"], F.col("doc_id")).withColumnRenamed("least", "node").drop("size"), "near-classes")
     nodes = staged(classes.where("doc_id = node").drop("doc_id").dropDuplicates(["node", "digest"]).select("node", "n_shingles", "a", "b", "sig"), "near-nodes")
+    buckets = staged(bucket_keys(nodes, ["node"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "near-buckets")
+    first = staged(plausible(stars(nodes.withColumn("comp", F.col("node")), buckets, 0), nodes, similarity), "near-stars")
     # texts that share a doc_id belong to one vertex
     repeated = classes.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
-    links = staged(classes.select("doc_id", "node").join(repeated.select("doc_id", "u"), "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "near-links")
-    buckets = staged(bucket_keys(nodes, ["node"]).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "near-buckets")
-    labels, round_ = components(links), 0
-    while True:
+    same = classes.select("doc_id", "node").join(repeated.select("doc_id", "u"), "doc_id").where("u <> node").select("u", F.col("node").alias("v"))
+    links = staged(verified(first, docs, percent, words).union(same.distinct()), "near-links")
+    labels = components(links)
+    for round_ in range(1, ROUNDS + 2):
         members = labelled(nodes, labels)
-        mixed = mixed_buckets(members, buckets)
-        if mixed.isEmpty():
-            break
-        large = mixed.where(F.col("n") > (LARGE if round_ else 1))
+        mixed = mixed_buckets(members, buckets.select("key"))
+        large = mixed.where(F.col("n") > LARGE)
         if round_ > ROUNDS or large.isEmpty():
             more = crossing(docs, members, mixed, percent, words)
             if more is not None:
@@ -396,7 +398,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
             break
         tested = staged(plausible(stars(members, large, round_), nodes, similarity), "near-stars")
         links = links.union(staged(verified(tested, docs, percent, words), "near-links"))
-        labels, buckets, round_ = components(links), mixed.select("key"), round_ + 1
+        labels, buckets = components(links), mixed
     placed = classes.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
     alone = found.where(~usable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     whole = placed.select(F.col("doc_id").alias("id"), F.col("component_id").alias("of_id")).where("of_id < id").distinct()
