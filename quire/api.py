@@ -34,8 +34,15 @@ def _cut(docs: DataFrame, max_chars: int | None) -> DataFrame:
 
 
 def parse(spark: SparkSession, path: str, max_chars: int | None = None, ocr: str = "auto", table_format: str = "markdown") -> DataFrame:
-    """Documents of a file or folder, one row each; unreadable files have an error."""
+    """Documents of a file or folder, one row each; unreadable files have an error.
+
+    Pictures aren't read and tables are Markdown: other modes are refused rather than ignored.
+    """
     check_read_options(ocr, table_format)
+    if ocr == "force":
+        raise NotImplementedError("ocr='force': there is no text recognition here.")
+    if table_format != "markdown":
+        raise NotImplementedError("table_format='html': tables of parsed documents are Markdown; format_chunks.html_table renders rows as HTML.")
     return _cut(read_files(spark, path), max_chars)
 
 

@@ -24,6 +24,8 @@ FIELDS = [
     ("section_type", "string", pa.string()), ("chunk_strategy", "string", pa.string()),
 ]
 
+#: Strategies that need more than a text, and what makes their chunks.
+ELSEWHERE = {"semantic": "semantic_chunks with breakpoints, or chunk(topics=True)", "layout": "page_chunks.chunk_pages", "structural": "page_chunks.chunk_pages"}
 MARKDOWN, WORD_FILES = (".md", ".markdown"), (".docx", ".doc")
 
 
@@ -38,6 +40,8 @@ def check_options(strategy: str, chunk_size: int, overlap: int) -> None:
 
 def rules(strategy: str, ext: str) -> dict:
     """The arguments of `chunks_of` for a strategy and an extension."""
+    if strategy in ELSEWHERE:
+        raise ValueError(f"{strategy} chunks aren't made from plain text: use {ELSEWHERE[strategy]}.")
     if strategy == "fixed":
         return {"strategy": "fixed", "structured": False}
     if strategy == "recursive":
@@ -56,6 +60,7 @@ def chunk(docs: DataFrame, strategy: str = "auto", chunk_size: int = CHUNK_SIZE,
     per heading section. Null and blank documents have no chunks.
     """
     check_options(strategy, chunk_size, overlap)
+    rules(strategy, "")
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), (F.lower(ext) if ext else F.lit("")).alias("ext"))
 

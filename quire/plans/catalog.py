@@ -135,7 +135,7 @@ def chunk_overlap_stats(spark, sf_dir):
 @query(rf"""WITH l AS (SELECT conv_id AS doc_id, turn AS chunk_id, coalesce(text, '') AS text, trim(string_split(coalesce(text, ''), E'\n')[1]) AS line FROM conversations),
     h AS (SELECT *, {n_words('line')} AS n, {n_words('text')} AS tn FROM l),
     x AS (SELECT doc_id, chunk_id, tn, CASE WHEN tn < 5 OR line = '' OR n > 15 THEN NULL
-        WHEN regexp_matches(line, '\p{{Lu}}') AND NOT regexp_matches(line, '\p{{Ll}}') AND n <= 10 THEN '<caps>' WHEN ends_with(line, ':') AND n <= 8 THEN left(line, length(line) - 1)
+        WHEN regexp_matches(line, '\p{{Lu}}') AND NOT regexp_matches(line, '\p{{Ll}}') AND n <= 10 THEN array_to_string(list_transform(range(1, length(line) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(line[i - 1], '\p{{L}}') THEN lower(line[i]) ELSE upper(line[i]) END), '') WHEN ends_with(line, ':') AND n <= 8 THEN left(line, length(line) - 1)
         WHEN regexp_matches(line, '^(\d+\.)+\s+(.+)') THEN regexp_extract(line, '^(\d+\.)+\s+(.+)', 2) WHEN regexp_matches(line, '^\*\*(.+?)\*\*') THEN regexp_extract(line, '^\*\*(.+?)\*\*', 1)
         WHEN regexp_matches(line, '^_(.+?)_') THEN regexp_extract(line, '^_(.+?)_', 1) END AS header FROM h)
     SELECT doc_id, chunk_id, CASE WHEN tn >= 5 THEN coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING), 'Section 1') END AS section_name FROM x""")
@@ -240,14 +240,14 @@ def exact_dup_groups(spark, sf_dir):
     return structure.duplicate_counts(documents(spark, sf_dir), "text", "doc_id", "source")
 
 
-PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS v FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS v FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
 
 @query(rf"""WITH x AS ({PROFILE}), y AS (SELECT "column", trim(coalesce(v, '')) AS v FROM x)
     SELECT "column", CASE WHEN coalesce(bool_and(regexp_full_match(nullif(v, ''), '[+-]?\d+')), false) THEN 'integer' WHEN coalesce(bool_and(regexp_full_match(nullif(v, ''), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?')), false) THEN 'float'
     WHEN coalesce(bool_and(lower(nullif(v, '')) IN ('true', 'false')), false) THEN 'boolean' ELSE 'text' END AS type, count(*) FILTER (v = '') AS null_count, count(DISTINCT nullif(v, '')) AS unique_count FROM y GROUP BY "column" """)
 def column_profile(spark, sf_dir):
-    return structure.column_profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    return structure.column_profile(table(spark, sf_dir, "customer"))
 
 
 @query("SELECT event_id, 'object' AS root_type, len(json_keys(props)) AS total_keys, array_to_string(json_keys(props), ',') AS root_keys FROM events")
@@ -351,7 +351,7 @@ def html_links(spark, sf_dir):
     return pages_html(spark, sf_dir).select("page_id", F.posexplode(links).alias("link_no", "l")).select("page_id", "link_no", "l.url", "l.text")
 
 
-@query(f"""WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<ul>(.*?)</ul>', 1), '<li>(.*?)</li>', 1) AS items FROM pages), x AS (SELECT page_id, generate_subscripts(items, 1) - 1 AS item_no, unnest(items) AS i FROM l)
+@query(f"""WITH l AS (SELECT page_id, flatten(list_transform(regexp_extract_all(html, '<ul>(.*?)</ul>', 1), lambda u: regexp_extract_all(u, '<li>(.*?)</li>', 1))) AS items FROM pages), x AS (SELECT page_id, generate_subscripts(items, 1) - 1 AS item_no, unnest(items) AS i FROM l)
     SELECT page_id, item_no, trim({ITEM}) AS item FROM x""")
 def html_lists(spark, sf_dir):
     lists = F.from_json(F.get_json_object("structure", "$.lists"), "array<struct<items:array<string>>>")
