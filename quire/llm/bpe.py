@@ -283,24 +283,34 @@ class Codec:
 
     def stream(self, ids: Iterable[int], run: int = 65536) -> Iterator[str]:
         """Text pieces of runs of tokens, with bounded memory; tokens that cut characters go through the machine."""
-        machine, at = Utf8Stream(), iter(ids)
-        while len(part := np.fromiter(itertools.islice(at, run), np.int64)):
+        machine = Utf8Stream()
+        for part in runs_of(ids, run):
             yield "".join(self._texts(machine, part))
         yield machine.close()
 
     def _texts(self, machine: Utf8Stream, ids: np.ndarray) -> Iterator[str]:
-        start, table = 0, self.table
+        start, pieces = 0, list(map(self.table.__getitem__, ids.tolist()))
         for cut in [*np.flatnonzero(~self.closed[ids]).tolist(), len(ids)]:
             if machine.need and start < cut:  # broken off: the machine says so, and is in its first state then
-                yield machine.feed(table[ids[start]])
+                yield machine.feed(pieces[start])
                 start += 1
             if start < cut:
-                yield b"".join(map(table.__getitem__, ids[start:cut].tolist())).decode("utf-8")
+                yield b"".join(pieces[start:cut]).decode("utf-8")
             if cut < len(ids):
-                yield machine.feed(table[ids[cut]])
+                yield machine.feed(pieces[cut])
             start = cut + 1
 
 
+def runs_of(ids: Iterable[int], run: int) -> Iterator[np.ndarray]:
+    """ids in arrays of at most `run`; an array is cut without a look at its elements."""
+    if isinstance(ids, np.ndarray):
+        yield from (ids[k : k + run] for k in range(0, len(ids), run))
+        return
+    at = iter(ids)
+    while len(part := np.fromiter(itertools.islice(at, run), np.int64)):
+        yield part
+
+
 def _closed(token: bytes) -> bool:
     machine = Utf8Stream()
     return REPLACEMENT not in machine.feed(token) and not machine.need or token == REPLACEMENT.encode()
