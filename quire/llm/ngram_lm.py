@@ -31,7 +31,7 @@ from quire.llm.common import byte_texts, free_arrow, likely, open_folder, slices
 
 ORDER = 6
 #: Bytes of text that are looked up in the model together, and that are keyed at once.
-RUN = 16 << 20
+RUN = 4 << 20
 PIECE = 1 << 20
 #: Model rows of a shard, and those that a Python worker keeps from run to run; 13 bytes each.
 SHARD = 250_000
@@ -227,13 +227,15 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
                 texts = byte_texts(part.column("text"))
                 total = np.zeros(len(texts))
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
-                distinct = np.zeros(0, np.int64)
-                for _, _, keys in pieces_of(texts):
-                    distinct = np.union1d(distinct, keys)
-                logs = log_probabilities(model, distinct)
+                pieces, distinct = [], np.zeros(0, np.int64)
                 for rows, sizes, keys in pieces_of(texts):
+                    own, place = np.unique(keys, return_inverse=True)
+                    pieces.append((rows, sizes, own, place.astype(np.int32)))
+                    distinct = np.union1d(distinct, own)
+                logs = log_probabilities(model, distinct)
+                for rows, sizes, own, place in pieces:
                     ends = np.cumsum(sizes)
-                    np.add.at(total, rows, np.add.reduceat(logs[np.searchsorted(distinct, keys)], ends - sizes))
+                    np.add.at(total, rows, np.add.reduceat(logs[np.searchsorted(distinct, own)][place], ends - sizes))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     perplexity = np.exp(-total / size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(size), pa.array(perplexity, mask=size == 0)], names=["doc_id", "lang", "n_bytes", "perplexity"])
