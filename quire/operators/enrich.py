@@ -50,16 +50,18 @@ def phrases(text: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> Column:
 def rake(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text", top_k: int = 5) -> DataFrame:
     """key, rank, phrase, score: phrases by the summed degree/frequency of their words, four words at most.
 
-    Ties keep the order of first appearance. One shuffle, on the key; all later groupings contain it.
+    Ties keep the order of first appearance. One pass and one shuffle, on the key: a word's ratio is a window, which
+    contains the key, so phrases are never made again or joined back.
     """
     keys = [key] if isinstance(key, str) else list(key)
     found = docs.select(*keys, F.posexplode(phrases(text)).alias("pos", "phrase")).repartition(*keys)
-    size = F.size(F.split("phrase", " "))
-    ratio = found.select(*keys, F.explode(F.split("phrase", " ")).alias("word"), (size - 1).alias("degree")).groupBy(*keys, "word").agg((F.sum("degree") / F.count(F.lit(1))).alias("ratio"))
-    distinct = found.groupBy(*keys, "phrase").agg(F.min("pos").alias("first_pos"))
-    scored = distinct.withColumn("word", F.explode(F.split("phrase", " "))).join(ratio, [*keys, "word"]).groupBy(*keys, "phrase", "first_pos").agg(F.round(F.sum("ratio"), 6).alias("score"))
+    split = F.split("phrase", " ")
+    each = found.select(*keys, "pos", "phrase", F.size(split).alias("size"), F.explode(split).alias("word"))
+    ratio = F.avg(F.col("size") - 1).over(Window.partitionBy(*keys, "word"))
+    scored = each.withColumn("ratio", ratio).where("size <= 4").groupBy(*keys, "pos", "phrase").agg(F.round(F.sum("ratio"), 6).alias("score"))
+    first = scored.groupBy(*keys, "phrase").agg(F.min("pos").alias("first_pos"), F.min_by("score", "pos").alias("score"))
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "first_pos")
-    return scored.where(size <= 4).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(*keys, "rank", "phrase", "score")
+    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(*keys, "rank", "phrase", "score")
 
 
 def with_keywords(chunks: DataFrame, key: list[str], text: str = "text", top_k: int = 5) -> DataFrame:
