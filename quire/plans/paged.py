@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import page_words as P
-from quire.plans.catalog import WORDS, documents, query
+from quire.operators import prose
+from quire.plans.catalog import WORDS, documents, n_words, query, turns
 from quire.session import table
 
 #: Six places a line, 40 lines a page. Place, width and height follow from a word's number and length, so that the SQL can
@@ -135,3 +136,57 @@ def captioned_figures(spark, sf_dir):
     words = page_words(spark, sf_dir)
     figures = words.select(*P.PAGE).distinct().select(*P.PAGE, F.lit(1).alias("box_id"), *[F.lit(v).alias(k) for k, v in zip(P.EDGES, (80.0, 150.0, 250.0, 220.0), strict=True)])
     return P.captioned(figures, words.where("text RLIKE '^[A-Z]'").withColumnRenamed("word_no", "caption_no"))
+
+
+#: The SQL has no look-behind: what stands before a word is captured, so neighbours need a second replacement.
+SHORT_SQL, INITIAL_SQL = (rf"regexp_replace({{t}}, '(^|[^\p{{{{L}}}}\p{{{{N}}}}_])({w})\.(\s)', '\1\2' || chr(2) || '\3', 'g')" for w in (prose.SHORT, "[A-Z]"))
+MASKED = "coalesce(text, '')"
+for step in (SHORT_SQL, SHORT_SQL, INITIAL_SQL, INITIAL_SQL):
+    MASKED = step.format(t=MASKED)
+SAFE = rf"""WITH m AS (SELECT doc_id, {MASKED} AS t FROM documents),
+    s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]["'')\]]*)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: replace(trim(x, E' \n\t'), chr(2), '.')), lambda x: x <> '') AS ss FROM m),
+    u AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS n, unnest(ss) AS sentence FROM s)"""
+
+
+@query(f"{SAFE} SELECT doc_id, n, sentence FROM u")
+def safe_sentences(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(prose.safe_sentences("text")).alias("n", "sentence"))
+
+
+@query(rf"""WITH a AS (SELECT doc_id, string_split(text, E'\n') AS ls FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM a),
+    l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS line FROM b), f AS (SELECT *, starts_with(trim(line), '```') AS fence FROM l),
+    p AS (SELECT *, NOT fence AND sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 0 AND trim(line, E' \t') <> '' AND NOT regexp_matches(line, '{prose.KEPT_LINE}') AS plain FROM f),
+    k AS (SELECT *, plain AND lag(plain) OVER w AS joins, plain AND lead(plain) OVER w AS goes_on, regexp_matches(lag(line) OVER w, '\p{{L}}-\s*$') AND regexp_matches(line, '^\s*\p{{Ll}}') AS was_cut, regexp_matches(line, '\p{{L}}-\s*$') AND regexp_matches(lead(line) OVER w, '^\s*\p{{Ll}}') AS is_cut FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    o AS (SELECT *, CASE WHEN joins THEN regexp_replace(line, '^\s+', '') ELSE line END AS body FROM k)
+    SELECT doc_id, string_agg(CASE WHEN n = 0 OR (joins AND was_cut) THEN '' WHEN joins THEN ' ' ELSE E'\n' END || CASE WHEN goes_on AND is_cut THEN regexp_replace(body, '-\s*$', '') WHEN goes_on THEN regexp_replace(body, '\s+$', '') ELSE body END, '' ORDER BY n) AS text FROM o GROUP BY doc_id""")
+def reflowed_texts(spark, sf_dir):
+    return prose.reflowed(table(spark, sf_dir, "documents"))
+
+
+@query(f"""{SAFE}, e AS (SELECT doc_id, sum(length(regexp_replace(sentence, '\\s+', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY n) AS "at" FROM u),
+    d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, t, unnest(range(0, length(t), 700)) AS o FROM d),
+    c AS (SELECT doc_id, o // 700 AS chunk_id, sum(length(regexp_replace(substring(t, o + 1, 700), '\\s+', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY o) AS "at" FROM x)
+    SELECT doc_id, chunk_id, CAST("at" AS BIGINT) AS "at" FROM c ANTI JOIN e USING (doc_id, "at")""")
+def unsafe_cuts(spark, sf_dir):
+    """Pieces of 700 characters, cut without a look at sentences."""
+    d = documents(spark, sf_dir)
+    pieces = d.where("text <> ''").select("doc_id", "text", F.explode(F.expr("sequence(0, length(text) - 1, 700)")).alias("o")).select("doc_id", F.floor(F.col("o") / 700).alias("chunk_id"), F.expr("substring(text, o + 1, 700)").alias("text"))
+    return prose.bad_cuts(pieces, d)
+
+
+LEADS = ["", "• ", " (a) ", "iv) ", "12) ", "3. ", "1.2 ", "-5% "]
+LEAD_SQL = f"{LEADS}[line_no % 8 + 1]".replace('"', "'")
+
+
+@query(rf"""WITH r AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS t, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) - 1 AS line_no FROM documents),
+    l AS (SELECT doc_id, line_no, {LEAD_SQL} || t AS line FROM r)
+    SELECT doc_id, line_no, regexp_extract(line, '{prose.MARKER}', 1) AS marker, regexp_extract(line, '{prose.MARKER}', 2) AS item FROM l WHERE regexp_matches(line, '{prose.MARKER}')""")
+def list_markers(spark, sf_dir):
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", prose.list_marker("line").alias("m")).where("m IS NOT NULL").select("doc_id", "line_no", "m.*")
+
+
+@query(f"""WITH c AS (SELECT conv_id AS doc_id, {n_words("coalesce(text, '')")} AS w FROM conversations)
+    SELECT doc_id, count(*) AS total_chunks, CAST(sum(w) AS BIGINT) AS total_words, CAST(sum(w) // count(*) AS BIGINT) AS average_words FROM c GROUP BY doc_id""")
+def chunk_statistics(spark, sf_dir):
+    return prose.chunk_statistics(turns(spark, sf_dir))
