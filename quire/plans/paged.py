@@ -182,7 +182,8 @@ LEAD_SQL = f"{LEADS}[line_no % 8 + 1]".replace('"', "'")
     l AS (SELECT doc_id, line_no, {LEAD_SQL} || t AS line FROM r)
     SELECT doc_id, line_no, regexp_extract(line, '{prose.MARKER}', 1) AS marker, regexp_extract(line, '{prose.MARKER}', 2) AS item FROM l WHERE regexp_matches(line, '{prose.MARKER}')""")
 def list_markers(spark, sf_dir):
-    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
+    lines = lines.withColumn("line", F.concat(F.element_at(F.array(*map(F.lit, LEADS)), F.col("line_no") % len(LEADS) + 1), "t"))
     return lines.select("doc_id", "line_no", prose.list_marker("line").alias("m")).where("m IS NOT NULL").select("doc_id", "line_no", "m.*")
 
 
