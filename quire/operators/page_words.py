@@ -31,17 +31,21 @@ def drawn_rules(drawings: DataFrame, thin: float = 2.0, least: float = 10.0) ->
     return drawings.where(level | upright).withColumn("upright", upright).withColumn("at", at)
 
 
-def in_boxes(items: DataFrame, boxes: DataFrame) -> DataFrame:
-    """items with the box_id that their centre lies in (the smallest box, then the least id; null if none).
+def in_boxes(items: DataFrame, boxes: DataFrame | Column) -> DataFrame:
+    """items with the box_id that their centre lies in (the smallest box, then the least id; null if none); lines in tables
+    and words in cells alike.
 
-    An equi-join on the page, restricted to boxes around the centre; lines in tables and words in cells alike.
+    `boxes` are a table, whose rows of a page are joined to its items as one array, or such an array column of the items
+    (structs of box_id and the four edges): an item meets its page's boxes in its own row, and nothing is grouped again.
     """
-    area = ((F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))).alias("_area")
-    b = boxes.alias("b").select(*[F.col(f"b.{k}").alias(f"_{k}") for k in (*PAGE, *EDGES)], F.col("b.box_id").alias("_box"), area)
+    rows = items
+    if isinstance(boxes, DataFrame):
+        listed = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("box_id", *EDGES)).alias("_boxes"))
+        rows, boxes = items.join(listed, list(PAGE), "left"), F.col("_boxes")
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    held = (F.col("doc_id") == F.col("_doc_id")) & (F.col("page") == F.col("_page")) & x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
-    found = items.join(b, held, "left")
-    return found.groupBy(*items.columns).agg(F.min(F.struct("_area", "_box")).alias("_b")).withColumn("box_id", F.col("_b._box")).drop("_b")
+    around = F.filter(boxes, lambda b: x.between(b["x0"], b["x1"]) & y.between(b["y0"], b["y1"]))
+    sized = F.transform(around, lambda b: F.struct(((b["x1"] - b["x0"]) * (b["y1"] - b["y0"])).alias("area"), b["box_id"].alias("box_id")))
+    return rows.select(*items.columns, F.array_min(sized)["box_id"].alias("box_id"))
 
 
 def with_lines(words: DataFrame, slack: float = 0.5) -> DataFrame:
