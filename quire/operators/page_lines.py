@@ -146,21 +146,23 @@ def with_heading_path(lines: DataFrame, found: DataFrame, deepest: int = 3) -> D
     return out.drop("level", "head", *[f"_{x}{k}" for x in "hc" for k in range(1, deepest + 1)])
 
 
-def math_density(text: str = "text") -> Column:
-    solid = F.regexp_replace(text, r"\s", "")
-    hits = F.length(solid) - F.length(F.regexp_replace(solid, rf"\d|{MATH_SIGNS}", ""))
-    return F.when(F.length(solid) > 0, hits / F.length(solid)).otherwise(F.lit(0.0))
+def math_density(text: str | Column = "text") -> Column:
+    share = lambda solid: F.when(F.length(solid) > 0, (F.length(solid) - F.length(F.regexp_replace(solid, rf"\d|{MATH_SIGNS}", ""))) / F.length(solid)).otherwise(F.lit(0.0))
+    return T.let(F.regexp_replace(text, r"\s", ""), share)
 
 
 def line_maths(text: str = "text", density: float = 0.3) -> Column:
-    """"t_account" or "formula" of a line, else null."""
-    t = T.strip(text)
+    """"t_account" or "formula" of a line, else null. The line is stripped once, and what few lines meet is asked first."""
     sign = F.col(text).rlike(MATH_SIGNS)
-    formula = (t != "") & ~t.startswith("|") & (t.rlike(r"^[A-Za-z][\w\s()'-]{0,40}=\s*\S") & sign | (math_density(text) >= density) & t.rlike(r"\d") & sign)
-    ruled = t.rlike(r"^[\s\-_=|+]{6,}$")
-    sides = t.contains("|") & ~t.startswith("|") & t.rlike(r"^[^|]*\d[^|]*\|.*\d")
-    account = (t != "") & (ruled | t.rlike(r"\b(Dr|Cr|Debit|Credit)\b") & (T.word_count(t) <= 12) | sides)
-    return F.when(account, "t_account").when(formula, "formula")
+
+    def kind(t: Column) -> Column:
+        formula = (t != "") & ~t.startswith("|") & sign & (t.rlike(r"^[A-Za-z][\w\s()'-]{0,40}=\s*\S") | t.rlike(r"\d") & (math_density(text) >= density))
+        ruled = t.rlike(r"^[\s\-_=|+]{6,}$")
+        sides = t.contains("|") & ~t.startswith("|") & t.rlike(r"^[^|]*\d[^|]*\|.*\d")
+        account = (t != "") & (ruled | t.rlike(r"\b(Dr|Cr|Debit|Credit)\b") & (T.word_count(t) <= 12) | sides)
+        return F.when(account, "t_account").when(formula, "formula")
+
+    return T.let(T.strip(text), kind)
 
 
 def math_regions(lines: DataFrame) -> DataFrame:

@@ -381,7 +381,10 @@ def page_lines(spark, sf_dir):
     Size and weight follow from the line, so that the SQL can make the same table.
     """
     d = documents(spark, sf_dir).where("text <> ''")
-    rows = d.select("source", "doc_id", F.posexplode(structure.text_lines("text")).alias("n", "text"), F.size(structure.text_lines("text")).alias("of"))
+    # Lines are counted before they become rows: beside the generator, the text would be split again for each of its lines.
+    # The outer generator keeps the optimizer from asking for texts with lines where the file is read, which splits them twice.
+    cut = d.select("source", "doc_id", structure.text_lines("text").alias("lines")).select("source", "doc_id", "lines", F.size("lines").alias("of"))
+    rows = cut.select("source", "doc_id", "of", F.posexplode_outer("lines").alias("n", "text")).where("n IS NOT NULL")
     size = F.when(F.length("text") < 25, 16.0).when(F.length("text") < 45, 13.0).otherwise(11.0)
     return rows.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), (F.col("doc_id") * 100000 + F.col("n")).alias("ordinal"), "text", size.alias("size"), (F.length("text") % 7 == 0).alias("bold"), (F.col("n") / F.col("of")).alias("y_frac"))
 
