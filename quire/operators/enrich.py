@@ -1,4 +1,5 @@
-"""Enrichment of chunk tables: measures, keywords, sections and titles. Columns in, columns out, no Python workers.
+"""Enrichment of chunk tables: measures, keywords, sections and titles. Columns in, columns out; keyword phrases alone are
+scored in Python workers, a document at a time.
 
 A chunk table has a document key, an order inside the document and a text. Everything that looks across the chunks
 of a document is one shuffle on the document key.
@@ -6,8 +7,14 @@ of a document is one shuffle on the document key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions import text as T
 
@@ -50,18 +57,57 @@ def phrases(text: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> Column:
 def rake(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text", top_k: int = 5) -> DataFrame:
     """key, rank, phrase, score: phrases by the summed degree/frequency of their words, four words at most.
 
-    Ties keep the order of first appearance. One pass and one shuffle, on the key: a word's ratio is a window, which
-    contains the key, so phrases are never made again or joined back.
+    Ties keep the order of first appearance. One shuffle, of a document's phrases as one text; words never become rows, so
+    that a task holds one key's phrases beside a batch of texts.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    found = docs.select(*keys, F.posexplode(phrases(text)).alias("pos", "phrase")).repartition(*keys)
-    split = F.split("phrase", " ")
-    each = found.select(*keys, "pos", "phrase", F.size(split).alias("size"), F.explode(split).alias("word"))
-    ratio = F.avg(F.col("size") - 1).over(Window.partitionBy(*keys, "word"))
-    scored = each.withColumn("ratio", ratio).where("size <= 4").groupBy(*keys, "pos", "phrase").agg(F.round(F.sum("ratio"), 6).alias("score"))
-    first = scored.groupBy(*keys, "phrase").agg(F.min("pos").alias("first_pos"), F.min_by("score", "pos").alias("score"))
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "first_pos")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(*keys, "rank", "phrase", "score")
+    joined = F.array_join(phrases(text), BREAK).alias("phrases")
+    rows = docs.select(*keys, joined).repartition(*keys).sortWithinPartitions(*keys)
+    shape = StructType([*[rows.schema[k] for k in keys], *StructType.fromDDL("rank int, phrase string, score double").fields])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+
+        def table(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * (len(keys) + 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [*types, pa.int32(), pa.string(), pa.float64()], strict=True)], names=[*keys, "rank", "phrase", "score"])
+
+        last, held = None, []
+        for batch in batches:
+            types, found = types or [batch.schema.field(k).type for k in keys], []
+            for *k, listed in zip(*[batch[c].to_pylist() for c in (*keys, "phrases")], strict=True):
+                if held and k != last:
+                    found += [(*last, *best) for best in best_phrases(held, top_k)]
+                    held = []
+                last = k
+                held += listed.split(BREAK) if listed else []
+            if found:
+                yield table(found)
+        if held:
+            yield table([(*last, *best) for best in best_phrases(held, top_k)])
+
+    return rows.mapInArrow(kernel, shape)
+
+
+def best_phrases(listed: list[str], top_k: int) -> list[tuple[int, str, float]]:
+    """rank, phrase, score of one document's phrases, given in order and as often as they occur."""
+    degree, count, first = {}, {}, {}
+    for place, phrase in enumerate(listed):
+        words = phrase.split(" ")
+        others = len(words) - 1
+        for w in words:
+            degree[w] = degree.get(w, 0) + others
+            count[w] = count.get(w, 0) + 1
+        if others < 4 and phrase not in first:
+            first[phrase] = place
+    scored = ((-half_up(sum(degree[w] / count[w] for w in phrase.split(" "))), place, phrase) for phrase, place in first.items())
+    return [(n, phrase, -score if score else 0.0) for n, (score, _, phrase) in enumerate(nsmallest(top_k, scored), 1)]
+
+
+def half_up(x: float) -> float:
+    """Six places, ties away from zero by the shortest decimal, as Spark's round has it."""
+    y = x * 1e6 % 1
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) if abs(y - 0.5) < 1e-3 else round(x, 6)
 
 
 def with_keywords(chunks: DataFrame, key: list[str], text: str = "text", top_k: int = 5) -> DataFrame:
