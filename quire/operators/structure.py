@@ -10,8 +10,14 @@ from quire.functions import text as T
 #: What ends a line (fixed values), CRLF first.
 LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 INT, FLOAT = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-#: Date shapes that count as datetime; anything else is text.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "dd MMM yyyy", "MMM dd, yyyy")
+YEAR, MONTH, DAY, TIME, NAME = r"[+-]?0*(?:\d{4,5}|1\d{5}|2[0-8]\d{4})", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"[0-2]\d:[0-5]\d:[0-5]\d", "(?iu:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+#: Date formats that count as datetime, anything else is text; each with the shape of what its parser may accept. No value
+#: has two shapes. The parser throws and catches an exception for each value that it refuses, so it sees no others; years
+#: from 290,000, of which some overflow a timestamp and end the job, aren't dates.
+DATE_FORMATS = {
+    "yyyy-MM-dd": f"{YEAR}-{MONTH}-{DAY}", "yyyy-MM-dd HH:mm:ss": f"{YEAR}-{MONTH}-{DAY} {TIME}", "yyyy-MM-dd'T'HH:mm:ss": f"{YEAR}-{MONTH}-{DAY}[Tt]{TIME}", "yyyy/MM/dd": f"{YEAR}/{MONTH}/{DAY}",
+    "MM/dd/yyyy": f"{MONTH}/{DAY}/{YEAR}", "dd.MM.yyyy": rf"{DAY}\.{MONTH}\.{YEAR}", "dd MMM yyyy": f"{DAY} {NAME} {YEAR}", "MMM dd, yyyy": f"{NAME} {DAY}, {YEAR}",
+}
 
 
 def text_lines(text: str | Column) -> Column:
@@ -88,22 +94,26 @@ def duplicate_counts(records: DataFrame, content: str, record_id: str, place: st
 
 
 def is_date(v: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS]).isNotNull() & v.rlike(r"\d")
+    parsed = F
+    for f, shape in DATE_FORMATS.items():
+        parsed = parsed.when(v.rlike(rf"\A{shape}\z"), F.try_to_timestamp(v, F.lit(f)))
+    return parsed.isNotNull()
 
 
 def column_profile(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, type (integer, float, boolean, datetime, text), null_count (blank), unique_count, from values as strings.
 
-    One pass over the table: columns are unpivoted and aggregated; the type is the first whose test all values pass.
+    One pass over the table: columns are unpivoted and grouped by value; the type is the first whose test all values pass.
+    A value is tested once, after the shuffle, where the values of few large files lie in many tasks.
     """
     names = columns or table.columns
     cells = table.select(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in names])
-    long = cells.unpivot([], names, "column", "value")
+    values = cells.unpivot([], names, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     v = F.when(F.col("value") != "", F.col("value"))
     test = lambda cond: F.coalesce(F.bool_and(cond), F.lit(False))
-    got = long.groupBy("column").agg(
+    got = values.groupBy("column").agg(
         test(v.rlike(INT)).alias("i"), test(v.rlike(FLOAT)).alias("f"), test(F.lower(v).isin("true", "false")).alias("b"), test(F.when(v.isNotNull(), is_date(v))).alias("d"),
-        F.count_if(F.col("value") == "").alias("null_count"), F.countDistinct(v).alias("unique_count"),
+        F.coalesce(F.sum(F.when(F.col("value") == "", F.col("n"))), F.lit(0)).alias("null_count"), F.count(v).alias("unique_count"),
     )
     kind = F.when(F.col("i"), "integer").when(F.col("f"), "float").when(F.col("b"), "boolean").when(F.col("d"), "datetime").otherwise("text")
     return got.select("column", kind.alias("type"), "null_count", "unique_count")

@@ -128,6 +128,22 @@ def test_column_profile_types(spark):
     assert got == {"i": ("integer", 0), "f": ("float", 0), "b": ("boolean", 0), "d": ("datetime", 0), "t": ("text", 0), "e": ("text", 2)}
 
 
+def test_column_profile_tests_distinct_values_after_the_shuffle(spark):
+    d = spark.createDataFrame([("a", "2024-01-02", "")] * 3 + [("b", "+999999-01-02", "")], "t string, d string, e string")
+    got = structure.column_profile(d)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "gettimestamp" not in plan[plan.index("keys=[column#", plan.index("gettimestamp")) :].split("\n", 1)[1]
+    assert sorted(map(tuple, got.collect())) == [("d", "text", 0, 2), ("e", "text", 4, 0), ("t", "text", 0, 2)]
+
+
+def test_dates_are_what_the_parser_accepts(spark):
+    values = "2024-02-29 2023-02-29 2024-1-2 -0044-03-15 +12024-01-02 12024-01-02 2024-13-01 2024/01/02 01/02/2024 13/02/2024 02.01.2024 2024-01-02T10:11:12 2024-01-02t10:11:12 2024-01-02T24:00:00 now 20240102 x".split()
+    values += ["2024-01-02 10:11:12", "2024-01-02 10:11", "2024-01-02 10:11:12\n", "02 Jan 2024", "02 sep 2024", "02 Sept 2024", "Jan 02, 2024", "\u017fep 02, 2024", "31 Feb 2024", ""]
+    v = spark.createDataFrame([(x,) for x in values], "v string")
+    plain = F.coalesce(*[F.try_to_timestamp("v", F.lit(f)) for f in structure.DATE_FORMATS]).isNotNull()
+    assert v.where(plain != structure.is_date(F.col("v"))).collect() == [] and v.where(plain).count() >= 10
+
+
 def test_breakpoints_reject_unknown_methods(spark):
     d = spark.createDataFrame([(1, 1, 0.5)], "g int, o int, distance double")
     with pytest.raises(ValueError):
