@@ -120,15 +120,22 @@ def term_scores(chunks: DataFrame, doc: str, chunk: str, text: str = "text", sto
     """doc, chunk, term, score: TF-IDF of words and word pairs, fitted over the chunks of each document.
 
     1 + ln(tf), times ln((1 + n) / (1 + df)) + 1, each chunk's vector of length 1.
+
+    One shuffle, of a chunk's tokens as one text by document. What a term's row needs of its document are windows there: a join
+    by document and term would move all terms again, and so would the sums of the chunks after it. Partitions aren't merged,
+    as their rows of terms are several times what was shuffled.
     """
     tokens = F.filter(F.split(F.lower(F.regexp_replace(text, URL, " ")), "[^a-z0-9_-]+"), lambda w: w.rlike("^[a-z][a-z0-9_-]+$") & ~w.isin(list(stop)))
-    held = chunks.select(doc, chunk, tokens.alias("w")).where(F.size("w") > 0).repartition(doc)
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks.where(F.col(doc).isNotNull()).select(doc, chunk, F.array_join(tokens, " ").alias("w")).repartition(parts, doc)
+    inner = Window.partitionBy(doc).orderBy(chunk)
+    new = F.col(chunk).isNotNull() & ~F.col(chunk).eqNullSafe(F.lag(chunk).over(inner))
+    held = rows.withColumn("n", new.cast("long")).withColumn("n", F.sum("n").over(Window.partitionBy(doc))).where("w <> ''").withColumn("w", F.split("w", " "))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    tf = held.select(doc, chunk, F.explode(F.concat("w", pairs)).alias("term")).groupBy(doc, chunk, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = chunks.groupBy(doc).agg(F.countDistinct(chunk).alias("n"))
-    df = tf.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("df"))
+    tf = held.select(doc, chunk, "n", F.explode(F.concat("w", pairs)).alias("term")).groupBy(doc, chunk, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = F.count(F.lit(1)).over(Window.partitionBy(doc, "term"))
     weight = (F.lit(1.0) + F.log("tf")) * (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    weighted = tf.join(df, [doc, "term"]).join(n, doc).withColumn("weight", weight)
+    weighted = tf.withColumn("df", df).withColumn("weight", weight)
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc, chunk)))
     return weighted.select(doc, chunk, "term", F.round(F.col("weight") / length, 6).alias("score"))
 
